@@ -6,9 +6,9 @@ propose candidates; a link counts only if the full sets of shingles confirm it.
 folded first, so a group of copies of any size is one row in what follows.
 
 Candidates are the pairs that share a bucket. They are never listed in full: each member of a bucket
-is compared with the bucket's smallest document, which settles most of them, and then the members
-that are not in that document's component with the bucket's members, in blocks of bounded size. As
-components only need one chain of links, pairs already in one component are not compared.
+is compared with the bucket's smallest document, which settles most of them, and then, where a bucket
+still has several components, the members outside the commonest with all members, in blocks of bounded
+size. As components only need one chain of links, pairs already in one component are not compared.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from .common import Words, as_bytes, components, cut, free_name, over_texts, par
 
 WORDS_KEPT = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Rows that share one copy of a text to compare with.
-BLOCK = 64
+#: Members that share one copy of a bucket's smallest document; rows of a set of centers and of a block of members.
+SHARE, BLOCK = 64, 256
+#: Documents of buckets with common members that are compared as one group.
+TOGETHER = 1 << 14
 
 
 def _hash(word: bytes) -> int:
@@ -143,40 +145,94 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, r
 
 
 def _compare(groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links. groups: g (array of long, the group's key), center (whether the row is one to compare with),
-    id, text, label, bands, band. Within a group every other row is compared with each center that has another label, once
-    for each pair: in the first band that both share (band null: in any)."""
+    """Confirmed links. groups: g (array of long, the group's key), center (whether the row is one to compare with), id, text,
+    label, bands, band.
+
+    Within a group each row is compared with the centers that share a band with it (in any case if bands is null) and have
+    another label; labels that a link joins count as one from then on. A row with a band is only compared with
+    centers whose first shared band that is.
+    """
     p = partitions(groups.sparkSession)
     names = ["g", "center", "id", "label", "band", "bands", "text"]
     dealt = groups.select(*names).repartition(p, "g").sortWithinPartitions("g", F.col("center").desc(), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, centers = None, []
+        now, centers, matrix, root = None, [], None, {}
+
+        def top(x):
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
         for batch in batches:
             a, b = [], []
             keys, is_center, ids, labels, band, bands = (batch.column(k).to_pylist() for k in range(6))
             texts = as_bytes(batch.column(6))
             for i, key in enumerate(keys):
                 if key != now:
-                    now, centers = key, []
-                x = shingles(word_hashes(texts[i]), size)
-                if is_center[i]:
-                    centers.append((ids[i], labels[i], bands[i], x))
-                for other, label, their, y in centers:
-                    if other == ids[i] or label == labels[i] or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    now, centers, matrix, root = key, [], None, {}
+                own = None if bands[i] is None else np.array(bands[i], np.int64)
+                near = range(len(centers))
+                if own is not None and centers:
+                    if matrix is None or len(matrix) != len(centers):
+                        matrix = np.array([c[2] for c in centers], np.int64)
+                    same = matrix == own
+                    near = np.flatnonzero(same.any(axis=1) if band[i] is None else same[:, band[i]] & (same.argmax(axis=1) == band[i])).tolist()
+                x = None
+                for k in near:
+                    other, label, _, y = centers[k]
+                    if other == ids[i] or top(label) == top(labels[i]):
                         continue
-                    if band[i] is not None and next(k for k, (u, v) in enumerate(zip(bands[i], their, strict=True)) if u == v) != band[i]:
+                    if x is None:
+                        x = shingles(word_hashes(texts[i]), size)
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                         continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both and 100 * both >= percent * (len(x) + len(y) - both):
                         a.append(ids[i])
                         b.append(other)
+                        root[top(labels[i])] = top(label)
+                if is_center[i]:
+                    centers.append((ids[i], labels[i], bands[i], shingles(word_hashes(texts[i]), size) if x is None else x))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _rest(named: DataFrame) -> DataFrame:
+    """Groups that compare, in buckets with several components, the members outside the commonest with all members.
+
+    named: id, bands, band, bucket, label. Open buckets that share members are taken together as one group of distinct
+    documents if it has at most TOGETHER; larger ones bucket by bucket. Sets of centers and blocks of members are
+    BLOCK rows large, so the rows of a group are sent once for each set.
+    """
+    sizes = named.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    heads = sizes.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("head"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("odd"), F.min("least").alias("first"))
+    open_ = cut(heads.where("odd > 0"), "open")
+    left = cut(named.join(open_, ["band", "bucket"]), "open_members")
+    parts = components(left.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    placed = left.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id").withColumn("part", F.coalesce("part", "id"))
+    placed = cut(placed, "placed")
+    docs = placed.groupBy("part", "id").agg(F.first("bands").alias("bands"), F.first("label").alias("label"))
+    by = docs.groupBy("part", "label").agg(F.count("*").alias("n")).groupBy("part")
+    whole = cut(by.agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("head"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("odd")), "parts")
+    small = cut(docs, "part_members").join(whole.where(F.col("members") <= TOGETHER), "part")
+    none = F.lit(None).cast("int")
+    small = small.select("id", "bands", none.alias("band"), "label", "head", "members", "odd", F.array(F.col("part"), F.lit(-1).cast("bigint")).alias("of"))
+    large = placed.join(whole.where(F.col("members") > TOGETHER).select("part"), "part", "left_semi")
+    large = large.select("id", "bands", "band", "label", "head", "members", "odd", F.array(F.col("band").cast("bigint"), F.col("bucket")).alias("of"))
+    both = small.union(large)
+    sets, blocks = F.expr(f"odd div {BLOCK} + 1"), F.expr(f"members div {BLOCK} + 1")
+    own_set, own_block = F.pmod(F.xxhash64("id"), sets), F.pmod(F.xxhash64(F.lit(1), "id"), blocks)
+    group = lambda x, y: F.concat(F.col("of"), F.array(x, y))
+    numbers = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    keep = ["id", "bands", "band", "label"]
+    rest = both.select(*keep, F.explode(F.transform(numbers(sets), lambda x: group(x, own_block))).alias("g"), F.lit(False).alias("center"))
+    mids = both.where("label <> head").select(*keep, F.explode(F.transform(numbers(blocks), lambda y: group(own_set, y))).alias("g"), F.lit(True).alias("center"))
+    return cut(rest.union(mids), "rest")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, size: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -197,8 +253,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     # first each member against its bucket's smallest document
     pairs = cut(member.where("id <> center").select("id", "center").distinct(), "pairs")
     many = pairs.groupBy("center").agg(F.count("*").alias("n"))
-    salts = many.select("center", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"n div {BLOCK}"))).alias("salt"), "n")
-    spread = pairs.join(cut(many, "centers").select("center", "n"), "center").select("id", F.array("center", F.pmod(F.xxhash64("id"), F.expr(f"n div {BLOCK} + 1"))).alias("g"))
+    salts = many.select("center", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"n div {SHARE}"))).alias("salt"), "n")
+    spread = pairs.join(cut(many, "centers").select("center", "n"), "center").select("id", F.array("center", F.pmod(F.xxhash64("id"), F.expr(f"n div {SHARE} + 1"))).alias("g"))
     asked = spread.select("g", "id", F.lit(False).alias("c")).union(salts.select(F.array("center", "salt"), F.col("center"), F.lit(True)))
     blank = {"label": F.lit(None).cast("bigint"), "band": F.lit(None).cast("int"), "bands": F.lit(None).cast("array<bigint>")}
     first = asked.join(texts, "id").select("g", F.col("c").alias("center"), "id", "text", F.when(F.col("c"), -1).otherwise(-2).cast("bigint").alias("label"), blank["band"].alias("band"), blank["bands"].alias("bands"))
@@ -206,21 +262,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
 
     # then, in buckets where that left several components, the members outside the center's with all members
     label = components(links)
-    named = member.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    heads = label.select(F.col("node").alias("center"), F.col("component").alias("head"))
-    named = cut(named.where("members > 2").join(heads, "center", "left").withColumn("head", F.coalesce("head", "center")), "named")
-    open_ = cut(named.where("label <> head").groupBy("band", "bucket").agg(F.count("*").alias("odd")), "open")
-    if open_.limit(1).count():
-        left = named.join(open_, ["band", "bucket"])
-        outside = F.col("label") != F.col("head")
-        sets, blocks = F.expr(f"odd div {BLOCK} + 1"), F.expr(f"members div {BLOCK} + 1")
-        group = lambda s, m: F.array(F.col("band").cast("bigint"), "bucket", s, m)
-        own_set, own_block = F.pmod(F.xxhash64("id"), sets), F.pmod(F.xxhash64(F.lit(1), "id"), blocks)
-        keep = ["id", "bands", "band", "label"]
-        rest = left.select(*keep, F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), sets - 1), lambda s: group(s, own_block))).alias("g"), F.lit(False).alias("center"))
-        mids = left.where(outside).select(*keep, F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda m: group(own_set, m))).alias("g"), F.lit(True).alias("center"))
-        more = _compare(cut(rest.union(mids), "left").join(texts, "id"), size, percent)
-        links = cut(links.union(more), "links")
+    several = member.where("members > 2").select("id", "bands", "band", "bucket")
+    named = several.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    groups = _rest(cut(named, "named"))
+    if groups.limit(1).count():
+        links = cut(links.union(_compare(groups.join(texts, "id"), size, percent)), "links")
         label = components(links)
 
     named = folded.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("fa", "fb", F.coalesce("component", "id").alias("component"))
