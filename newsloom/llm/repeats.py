@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, as_bytes, free_name, over_texts, partitions, per_worker, slices
+from .common import Words, as_bytes, free_name, partitions, per_worker, slices
 
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15
@@ -124,8 +124,14 @@ def packed_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, n long, blob binary")
 
 
-def repeated(blobs: DataFrame) -> DataFrame:
-    """id, places (32-bit integers as bytes): the windows whose hash also occurs in a smaller document."""
+def slot_of(ids: np.ndarray, slots: int) -> np.ndarray:
+    """What Spark's pmod(xxhash64(id), slots) gives."""
+    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in (i.to_bytes(8, "little", signed=True) for i in ids.tolist())), np.uint64, len(ids))
+    return np.mod(h.view(np.int64), slots).astype(np.int32)
+
+
+def repeated(blobs: DataFrame, slots: int) -> DataFrame:
+    """slot, n, blob: the windows whose hash also occurs in a smaller document, as packed doc_ids and places by slots of documents."""
     p = partitions(blobs.sparkSession)
     dealt = blobs.repartitionById(p, F.col("bucket") % p).sortWithinPartitions("bucket")
 
@@ -138,18 +144,20 @@ def repeated(blobs: DataFrame) -> DataFrame:
         later = doc > least
         return doc[later], at[later]
 
-    def rows(docs: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch | None:
+    def rows(docs: list[np.ndarray], places: list[np.ndarray], squeeze) -> Iterator[pa.RecordBatch]:
         doc, at = np.concatenate(docs), np.concatenate(places)
         if not len(doc):
-            return None
-        order = np.argsort(doc, kind="stable")
-        doc, at = doc[order], at[order]
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        blobs = [x.astype("<u4").tobytes() for x in np.split(at, starts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(blobs, pa.binary())], ["id", "places"])
+            return
+        ids, which = np.unique(doc, return_inverse=True)
+        slot = slot_of(ids, slots)[which]
+        order = np.lexsort((doc, slot))
+        doc, at, slot = doc[order], at[order], slot[order]
+        cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(slot)]
+        packed = [squeeze(planes(doc[a:z]) + planes(at[a:z])) for a, z in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(slot[cuts[:-1]]), pa.array(np.diff(cuts).astype(np.int64)), pa.array(packed, pa.binary())], ["slot", "n", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
+        expand, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         now, entries, docs, places, held = None, [], [], [], 0
         for batch in batches:
             for bucket, n, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -159,8 +167,8 @@ def repeated(blobs: DataFrame) -> DataFrame:
                     places.append(a)
                     held += len(d)
                     entries = []
-                    if held > 1 << 20:
-                        yield rows(docs, places)
+                    if held > 1 << 21:
+                        yield from rows(docs, places, squeeze)
                         docs, places, held = [], [], 0
                 now = bucket
                 entries.append(unpack(blob, n, expand))
@@ -168,10 +176,10 @@ def repeated(blobs: DataFrame) -> DataFrame:
             d, a = found(entries)
             docs.append(d)
             places.append(a)
-        if docs and (out := rows(docs, places)) is not None:
-            yield out
+        if docs:
+            yield from rows(docs, places, squeeze)
 
-    return dealt.mapInArrow(run, "id long, places binary")
+    return dealt.mapInArrow(run, "slot int, n long, blob binary")
 
 
 def intervals(places: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -195,36 +203,64 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     gets the same result; an empty table stays empty. With digest, kept_sha256 takes the place of the last two.
     """
     spark = docs.sparkSession
+    p = partitions(spark)
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    marks = repeated(packed_windows(narrow, window, BUCKETS * partitions(spark)))
-    key, places = free_name("repeat_id", docs.columns), free_name("repeat_places", docs.columns)
-    marks = marks.groupBy(F.col("id").alias(key)).agg(F.collect_list("places").alias(places))
-    joined = docs.join(marks, F.col(doc_id).cast("bigint") == F.col(key), "left").drop(key)
+    marks = repeated(packed_windows(narrow, window, BUCKETS * p), p)
+    # documents and the marks of their slot meet in one task, marks first
+    ident, slot, size, blob, last = (free_name(n, docs.columns) for n in ("mark_id", "mark_slot", "mark_n", "mark_blob", "mark_last"))
+    key = F.col(doc_id).cast("bigint")
+    own = F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.col(text))), F.lit(p)).cast("int")
+    left = docs.select("*", key.alias(ident), own.alias(slot), F.lit(None).cast("bigint").alias(size), F.lit(None).cast("binary").alias(blob), F.lit(1).alias(last))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
+    right = marks.select(*blank, F.lit(None).cast("bigint").alias(ident), F.col("slot").alias(slot), F.col("n").alias(size), F.col("blob").alias(blob), F.lit(0).alias(last))
+    joined = left.union(right).repartitionById(p, F.col(slot)).sortWithinPartitions(last)
     fields = [*FIELDS[:2], T.StructField("kept_sha256", T.StringType())] if digest else FIELDS
     fields = [T.StructField(free_name(f.name, docs.columns), f.dataType) for f in fields]
-    at, found, names = joined.columns.index(text), joined.columns.index(places), [*docs.columns, *[f.name for f in fields]]
-
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        total, gone, kept, cut = [], [], [], []
-        for raw, lists in zip(as_bytes(part.column(at)), part.column(found).to_pylist(), strict=True):
-            words = (raw or b"").split()
-            total.append(len(words))
-            spans = intervals(np.frombuffer(b"".join(lists), "<u4"), window) if lists else []
-            spans = [(a, min(z, len(words))) for a, z in spans if a < len(words)]
-            removed = 0
-            for a, z in reversed(spans):
-                del words[a:z]
-                removed += z - a
-            gone.append(removed)
-            left = b" ".join(words)
-            kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
-            cut.append([list(x) for x in spans])
-        arrays = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
-        if not digest:
-            arrays.append(pa.array(cut, pa.list_(pa.list_(pa.int64()))))
-        return pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != found], *arrays], names)
-
-    return over_texts(joined, text, work, T.StructType([*docs.schema.fields, *fields]))
+    width, at, names = len(docs.columns), docs.columns.index(text), [*docs.columns, *[f.name for f in fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        marked: list[tuple[np.ndarray, np.ndarray]] = []
+        index: dict[int, tuple[int, int]] | None = None
+        places = np.zeros(0, np.uint32)
+        for batch in batches:
+            kinds = batch.column(width + 4).to_numpy()
+            first = int(np.searchsorted(kinds, 1))
+            for n, raw in zip(batch.column(width + 2).slice(0, first).to_pylist(), batch.column(width + 3).slice(0, first).to_pylist(), strict=True):
+                raw = expand(raw)
+                marked.append((unplanes(raw, "<i8", n), unplanes(raw[8 * n :], "<u4", n)))
+            if first == len(kinds):
+                continue
+            if index is None:
+                index = {}
+                if marked:
+                    doc, places = (np.concatenate(x) for x in zip(*marked, strict=True))
+                    order = np.argsort(doc, kind="stable")
+                    doc, places = doc[order], places[order]
+                    cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+                    index = {int(doc[a]): (a, z) for a, z in zip(cuts, cuts[1:], strict=False)}
+                    marked = []
+            for part in slices(batch.slice(first), text):
+                total, gone, kept, cut = [], [], [], []
+                for raw, i in zip(as_bytes(part.column(at)), part.column(width).to_pylist(), strict=True):
+                    words = (raw or b"").split()
+                    total.append(len(words))
+                    a, z = index.get(i, (0, 0))
+                    spans = [(a, min(z, len(words))) for a, z in intervals(places[a:z], window) if a < len(words)]
+                    removed = 0
+                    for a, z in reversed(spans):
+                        del words[a:z]
+                        removed += z - a
+                    gone.append(removed)
+                    left = b" ".join(words)
+                    kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
+                    cut.append([list(x) for x in spans])
+                arrays = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
+                if not digest:
+                    arrays.append(pa.array(cut, pa.list_(pa.list_(pa.int64()))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *arrays], names)
+
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
