@@ -1,0 +1,159 @@
+"""Scalar functions on titles, URLs, times and payloads, as column expressions; vectorised Python only where none exists."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Parameters that never belong to a page's identity (fixed values).
+SECRET_PARAMS = "token|key|api_key|apikey|access_token|secret|signature|sign|auth|password"
+
+
+def normal_title(title: Column, synonyms: dict[str, str] | None = None) -> Column:
+    """Lower case, synonyms collapsed, punctuation and white space removed."""
+    out = F.lower(title)
+    for word, same in (synonyms or {}).items():
+        out = F.replace(out, F.lit(word), F.lit(same))
+    return F.regexp_replace(out, r"(?U)[\W_]+", "")
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters; a shorter text is its own."""
+    n = F.length(text)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(runs)
+
+
+def numbers(text: Column) -> Column:
+    """The distinct numbers of a text in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1))))
+
+
+def canonical_url(url: Column) -> Column:
+    """Without query, fragment and closing slashes, for grouping."""
+    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"/+$", "")
+
+
+def normal_url(url: Column) -> Column:
+    """Lower-cased scheme and host without user, no tracking or secret parameters, no fragment, a path of at least a slash; invalid URLs are empty."""
+    bare = F.regexp_replace(F.trim(url), r"#.*$", "")
+    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]+)", 1))
+    path = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]+([^?]*)", 1)
+    query = F.regexp_extract(bare, r"\?(.*)$", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(rf"^(utm_[^=]*|{SECRET_PARAMS})(=|$)"))
+    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.when((scheme == "") | (host == ""), "").otherwise(F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), tail))
+
+
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:#]+)", 1))
+
+
+def flash_title(text: Column) -> Column:
+    """A title for an untitled flash: its first sentence if that has 8 to 70 characters, else 60 characters and an ellipsis."""
+    first = F.trim(F.regexp_extract(F.trim(text), r"^([^.!?。！？\n]*)", 1))
+    return F.when(F.length(first).between(8, 70), first).when(F.length(F.trim(text)) <= 60, F.trim(text)).otherwise(F.concat(F.substring(F.trim(text), 1, 60), F.lit("…")))
+
+
+def quarter_bucket(ts: Column) -> Column:
+    return F.concat(F.year(ts).cast("string"), F.lit("-Q"), F.quarter(ts).cast("string"))
+
+
+def language_guess(title: Column) -> Column:
+    """zh for any Han character, en for any Latin letter, else und."""
+    return F.when(title.rlike(r"[一-鿿]"), "zh").when(title.rlike("[A-Za-z]"), "en").otherwise("und")
+
+
+def word_match(text: Column, alias: str) -> Column:
+    """Whether an alias occurs: as a whole word in ASCII, anywhere if it has other characters; a leading '=' minds case."""
+    exact = alias.startswith("=")
+    word = alias.removeprefix("=")
+    if not word.isascii():
+        return text.contains(word) if exact else F.lower(text).contains(word.lower())
+    quoted = "".join("\\" + c if not c.isalnum() and c != " " else c for c in word)
+    return text.rlike(("" if exact else "(?i)") + rf"(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])")
+
+
+def problem(text: Column) -> Column:
+    """The first fault of a garbled text: invisible characters, an echo, a loop of one character or phrase, unbalanced pairs; null if sound."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    pairs = F.lit(False)
+    for a, b in ("()", "[]", "{}", "“”", "《》"):
+        pairs = pairs | (count(a) != count(b))
+    return (
+        F.when(text.rlike("[​-‏ -‮⁠-⁤﻿]"), "invisible")
+        .when(text.rlike("�|[■-◿]"), "stray")
+        .when(text.rlike(r"(.)\1{7,}"), "loop")
+        .when(text.rlike(r"(?s)(.{4,40}?)\1{3,}"), "echo")
+        .when(pairs, "unbalanced")
+    )
+
+
+def fact_signature(fact: Column, volatile: list[str], names: list[str]) -> Column:
+    """SHA-256 of the JSON of a fact's fields in order of their names, without volatile ones."""
+    return F.sha2(F.to_json(F.struct(*[fact[n].alias(n) for n in sorted(names) if n not in volatile])), 256)
+
+
+def bucket(ident: Column, key: Column | str, buckets: int = 10_000) -> Column:
+    """A number below `buckets` from the first 16 hex digits of SHA-256 of id, a zero character and key."""
+    text = F.concat(ident, F.lit("\u0000"), key if isinstance(key, Column) else F.lit(key))
+    return (F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)") % buckets).cast("int")
+
+
+def company_number(cik: Column) -> Column:
+    return F.lpad(F.trim(cik.cast("string")), 10, "0")
+
+
+def publication(published: Column, accepted: Column, observed: Column, inserted: Column, slack: str = "10 minutes") -> tuple[Column, Column]:
+    """The time an item counts from and what it is based on: published unless it lies in the future, accepted, observed, inserted."""
+    sound = published.isNotNull() & (published <= observed + F.expr(f"INTERVAL {slack}"))
+    at = F.when(sound, published).otherwise(F.coalesce(accepted, observed, inserted))
+    basis = F.when(sound, "published").when(accepted.isNotNull(), "accepted").when(observed.isNotNull(), "observed").otherwise("inserted")
+    return at, basis
+
+
+def visible_text(html: Column) -> Column:
+    """Text of a page: no scripts, styles or comments, tags as spaces, the five named entities, single spaces."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(c))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def report_lead(markdown: Column) -> Column:
+    """The first plain paragraph line of a report."""
+    lines = F.filter(F.split(markdown, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(#|[-*>|]|\d+\.)"))
+    return F.trim(F.get(lines, F.lit(0)))
+
+
+def nfkc():
+    """A vectorised function for compatibility normalisation, which Spark has not."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return f
+
+
+def ratio():
+    """A vectorised function for the matching-blocks similarity of two texts (order matters, the later text first)."""
+    import difflib
+
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return f
+
+
+def failure_kind(message: Column) -> Column:
+    """What kind of failure a message tells, first match first."""
+    low = F.lower(message)
+    return F.when(low.rlike("timeout|timed out"), "timeout").when(low.rlike("429|rate.?limit|too many"), "rate_limit").when(low.rlike("401|403|auth|forbidden"), "auth").when(low.rlike("content.?filter|refus"), "refused").when(low.rlike("json|parse|schema"), "format").when(low.rlike("5\\d\\d|unavailable|overload"), "server").otherwise("other")
