@@ -111,7 +111,7 @@ def fitted(names: list[str], by: dict[str, list[int]]) -> dict:
     logs = [[math.log((c + SMOOTH) / (t + SMOOTH * size)) for c, t in zip(codes[g], total, strict=True)] for g in ordered]
     own = {s: np.array([c >= SCRIPT_SHARE * t for c, t in zip(n, all_letters, strict=True)]) for s, n in kinds.items()}
     # the last row is for trigrams not in the table; a code that no text has keeps the table from being empty
-    return {"names": names, "codes": np.array([*ordered, 1 << 62], np.int64), "logs": np.array([*logs, rare, rare], np.float32).reshape(-1, len(names)), "own": own}
+    return {"names": names, "codes": np.array([*ordered, 1 << 62], np.int64), "logs": np.array([*logs, rare, rare], np.float32).reshape(len(ordered) + 2, len(names)), "own": own}
 
 
 class Scorer:
