@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,10 +133,6 @@ def report_lead(markdown: Column) -> Column:
 
 def nfkc():
     """A vectorised function for compatibility normalisation, which Spark has not."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -142,10 +142,6 @@ def nfkc():
 
 def ratio():
     """A vectorised function for the matching-blocks similarity of two texts (order matters, the later text first)."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
