@@ -203,11 +203,11 @@ def near(spark, sf):
     return P.near_pairs(T_(spark, sf, "events"), "user_id", "event_id", "ts", 7200)
 
 
-@query("J10_shared_grams", """, grams AS (SELECT DISTINCT p_partkey, unnest(CASE WHEN len(p_name) = 0 THEN [] ELSE list_transform(range(1, greatest(len(p_name) - 2, 1) + 1), lambda i: substring(p_name, i, 3)) END) AS g FROM part WHERE p_partkey < 400),
+@query("J10_shared_grams", """, names AS (SELECT min(p_partkey) AS p_partkey, p_name FROM part GROUP BY p_name), grams AS (SELECT DISTINCT p_partkey, unnest(CASE WHEN len(p_name) = 0 THEN [] ELSE list_transform(range(1, greatest(len(p_name) - 2, 1) + 1), lambda i: substring(p_name, i, 3)) END) AS g FROM names),
   pairs AS (SELECT a.p_partkey AS id, b.p_partkey AS other, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND b.p_partkey < a.p_partkey GROUP BY ALL HAVING count(*) >= 2)
   SELECT id, other, shared FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) <= 5""", True)
 def shared_grams(spark, sf):
-    parts = T_(spark, sf, "part").where("p_partkey < 400").select("p_partkey", "p_name")
+    parts = T_(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))  # equal titles are one
     return D.shared_grams(parts, "p_partkey", X.trigrams(F.col("p_name")), 5).select("id", "other", "shared")
 
 
@@ -238,12 +238,12 @@ ORACLES["J18_redirects"] = f"""WITH RECURSIVE {R.oracle_items()}, {R.oracle_stor
   SELECT id, CASE WHEN depth < 70 THEN here END AS "end", CASE WHEN depth >= 70 THEN 'cycle' WHEN here NOT IN (SELECT story_id FROM stories) THEN 'missing' ELSE 'ok' END AS state FROM ends"""
 
 
-@query("J22_interval_overlap", """, known AS (SELECT event_id AS id, epoch(ts) AS s, epoch(ts) + 600 AS e FROM events WHERE event_id % 3 = 0), fresh AS (SELECT event_id AS id, epoch(ts) AS s, epoch(ts) + 900 AS e FROM events WHERE event_id % 3 = 1)
+@query("J22_interval_overlap", """, known AS (SELECT event_id AS id, epoch(ts) AS s, epoch(ts) + 600 AS e FROM events WHERE event_type = 'error'), fresh AS (SELECT event_id AS id, epoch(ts) AS s, epoch(ts) + 900 AS e FROM events WHERE event_type = 'purchase')
   SELECT id FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE f.s < k.e AND f.e > k.s)""", True)
 def overlap(spark, sf):
     spans = lambda df, n: df.select(F.col("event_id").alias("id"), P.seconds("ts").alias("started"), (P.seconds("ts") + n).alias("ended"))
     e = T_(spark, sf, "events")
-    return P.without_overlap(spans(e.where("event_id % 3 = 1"), 900), spans(e.where("event_id % 3 = 0"), 600)).select("id")
+    return P.without_overlap(spans(e.where("event_type = 'purchase'"), 900), spans(e.where("event_type = 'error'"), 600)).select("id")
 
 
 # Aggregation
@@ -265,12 +265,12 @@ def mentions(spark, sf):
     return tagged.groupBy("company").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "company").limit(6)
 
 
-@query("A4_day_rollup", """, days AS (SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_id % 13 < 9 AND day(ts) % 7 <> 3 GROUP BY 1),
+@query("A4_day_rollup", """, days AS (SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'error' GROUP BY 1),
   spine AS (SELECT unnest(generate_series((SELECT min(day) FROM days)::TIMESTAMP, (SELECT max(day) FROM days)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day),
   filled AS (SELECT spine.day, coalesce(n, 0) AS n, coalesce(users, 0) AS users FROM spine LEFT JOIN days USING (day))
   SELECT strftime(day, '%Y-%m-%d') AS day, n, users, n - lag(n) OVER (ORDER BY day) AS growth FROM filled""", True)
 def rollup(spark, sf):
-    e = T_(spark, sf, "events").where("event_id % 13 < 9 and day(ts) % 7 <> 3")
+    e = T_(spark, sf, "events").where("event_type = 'error'")
     out = P.day_rollup(e, "ts", {"n": F.count("*"), "users": F.count_distinct("user_id")})
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -459,10 +459,10 @@ def fold(spark, sf):
     return D.fold_groups(d, [F.col("n_chars").desc(), F.col("doc_id")], "doc_id", "g").select("lang", "doc_id", "others")
 
 
-@query("U8_components", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (event_id * 7) % 150 + 1000000 AS b FROM events WHERE event_id % 11 = 0), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("U8_components", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CASE WHEN event_type = 'error' THEN 20000000 + user_id // 50 ELSE 10000000 + user_id // 5 END AS b FROM events), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
 def components(spark, sf):
-    e = T_(spark, sf, "events").where("event_id % 11 = 0").select(F.col("user_id").alias("a"), ((F.col("event_id") * 7) % 150 + 1000000).alias("b"))
+    e = T_(spark, sf, "events").select(F.col("user_id").alias("a"), F.expr("case when event_type = 'error' then 20000000 + user_id div 50 else 10000000 + user_id div 5 end").alias("b")).distinct()
     return D.components(e)
 
 

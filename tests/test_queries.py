@@ -2,7 +2,7 @@
 
 import pytest
 
-from newsloom import queries
+from newsloom import more_queries, queries  # noqa: F401
 from tests import oracle
 
 
