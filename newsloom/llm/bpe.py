@@ -14,9 +14,11 @@ import json
 import re
 import struct
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ from .common import Words, append, free_name, per_worker
 
 NAME = "word_bpe_49k.json"
 #: Pieces and fragments that a worker keeps.
-PIECES, FRAGMENTS = 250_000, 200_000
+PIECES, FRAGMENTS = 100_000, 400_000
 SUFFIX = "</w>"
 
 
@@ -43,6 +45,29 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of a large binary column start in its data, and the end."""
+    return np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+
+
+def lines(column: pa.Array) -> list[str]:
+    """The strings of a column that has no line break in it."""
+    if not len(column):
+        return []
+    ended = pc.binary_join_element_wise(column.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    at = offsets(ended)
+    return ended.buffers()[2][int(at[0]) : int(at[-1]) - 1].to_pybytes().decode().split("\n")
+
+
+def gather(values: pa.Array, at: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each pair of neighbours in bounds, the values at those places of `at` in one."""
+    if not len(at):
+        return pa.array([b""] * (len(bounds) - 1), pa.large_binary())
+    taken = values.take(pa.array(at))
+    ends = np.ascontiguousarray(offsets(taken)[bounds])
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends), taken.buffers()[2]])
+
+
 class Encoder:
     """encode(bytes) -> ids as little-endian unsigned 32-bit integers, equal to the tokenizers library without special tokens added."""
 
@@ -51,7 +76,7 @@ class Encoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -80,11 +105,85 @@ class Encoder:
         self.apart = {self.letters[a] + self.letters[b] for a, b in zip(*np.nonzero(~self.joins), strict=True)}
         self.fragments = Words(self._fragment, FRAGMENTS)
         self.pieces = Words(self._piece, PIECES)
+        # the same in bulk: words on lines, fragments between spaces; neither byte has its own letter then
+        self.parted = regex.compile("(?:" + split["pattern"]["Regex"] + ")|\n").findall
+        self.apart_from = "|".join(["[^\x21-\x7e\u00a1-\u00ff]", *sorted({re.escape(x[:2]) for x in self.added})])
+        self.table_of_tokens = pa.array([(self.tokens.get(i, "") + " ").encode() for i in range(max(self.tokens) + 1)], pa.large_binary())
+        self.held = self.joins.copy()
+        self.held[10, :] = self.held[:, 10] = True
+        self.spaced = {i: x for i, x in self.table.items() if i not in (10, 32)}
+        self.bulk = []
+        for m in (self.inner, self.last):
+            t = Tokenizer(m)
+            t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.bulk.append(t)
+        self.known: tuple[dict[str, bytes], ...] = ({}, {})
 
     def _fragment(self, key: tuple[str, bool]) -> tuple[int, ...]:
         text, ends = key
         return tuple(t.id for t in (self.last if ends else self.inner).tokenize(text))
 
+    def _fragments(self, wanted: pa.Array, ends: bool) -> pa.Array:
+        """Ids of many distinct fragments, from one call of the library for all that are not kept."""
+        kept = self.known[ends]
+        names = lines(wanted)
+        values = list(map(kept.get, names))
+        new = [f for f, v in zip(names, values, strict=True) if v is None]
+        if new:
+            found = self.bulk[ends].encode("\n".join(new), add_special_tokens=False)
+            stops = 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(new)))
+            raw = np.array(found.ids, "<u4").tobytes()
+            ids = [raw[i:j] for i, j in zip([0, *stops.tolist()], stops.tolist(), strict=False)]
+            kept.update(islice(zip(new, ids, strict=True), max(0, FRAGMENTS - len(kept))))
+            more = iter(ids)
+            values = [next(more) if v is None else v for v in values]
+        return pa.array(values, pa.large_binary())
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of many distinct words, cut at forced boundaries in one go, fragments encoded apart and put together."""
+        codes = np.frombuffer("\n".join(lines(words)).encode(), np.uint8)
+        cuts = np.flatnonzero(~self.held[codes[:-1], codes[1:]]) + 1
+        cut = np.insert(codes, cuts, 32)
+        marks = cut[(cut == 10) | (cut == 32)]
+        ends = np.append(marks == 10, True)
+        fragments = pc.split_pattern(pa.array([cut.tobytes().decode("latin-1").translate(self.spaced).replace(" ", "\n")], pa.large_string()), "\n").flatten()
+        at = np.empty(len(fragments), np.int64)
+        parts, base = [], 0
+        for which in (False, True):
+            coded = pc.dictionary_encode(fragments.filter(pa.array(ends == which)))
+            at[ends == which] = coded.indices.to_numpy() + base
+            parts.append(self._fragments(coded.dictionary, which))
+            base += len(coded.dictionary)
+        return gather(pa.concat_arrays(parts), at, np.append(0, np.flatnonzero(ends) + 1))
+
+    def _many(self, pieces: pa.Array) -> pa.Array:
+        """Ids of many distinct pieces of plain letters."""
+        if not len(pieces):
+            return pa.array([], pa.large_binary())
+        parts = pa.array(self.parted("\n".join(lines(pieces)).lower()), pa.large_string())
+        breaks = pc.equal(parts, "\n").to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(parts.filter(pa.array(~breaks)))
+        bounds = np.concatenate([[0], np.flatnonzero(breaks) - np.arange(len(pieces) - 1), [len(coded)]])
+        return gather(self._words(coded.dictionary), coded.indices.to_numpy(), bounds)
+
+    def all(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded text of each text: distinct pieces are encoded together, and results are put in their places."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        flat, bounds = split.flatten(), split.offsets.to_numpy()
+        filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        bounds = np.append(0, np.cumsum(filled))[bounds]
+        coded = pc.dictionary_encode(flat.filter(pa.array(filled)))
+        pieces = coded.dictionary
+        if not len(pieces):
+            return [(b"", b"")] * len(texts)
+        odd = pc.match_substring_regex(pieces, self.apart_from).to_numpy(zero_copy_only=False)
+        values = pa.concat_arrays([self._many(pieces.filter(pa.array(~odd))), pa.array([self.pieces[p.encode()] for p in pieces.filter(pa.array(odd)).to_pylist()], pa.large_binary())])
+        place = np.where(odd, np.cumsum(odd) - 1 + (~odd).sum(), np.cumsum(~odd) - 1)
+        ids = gather(values, place[coded.indices.to_numpy()], bounds)
+        ends = offsets(ids) // 4
+        back = gather(self.table_of_tokens, np.frombuffer(ids.buffers()[2], "<u4", ends[-1]).astype(np.int64), ends)
+        return [(i, b[:-1]) for i, b in zip(ids.to_pylist(), back.to_pylist(), strict=True)]
+
     def _word(self, letters: str) -> list[int]:
         """The ids of one word in byte letters, fragment by fragment."""
         out: list[int] = []
@@ -109,7 +208,7 @@ class Encoder:
             out += self._word(word)
         return out
 
-    def _piece(self, raw: bytes) -> tuple[bytes, bytes]:
+    def _piece(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8")
         if self.mark is not None and self.mark.search(raw):
             ids: list[int] = []
@@ -117,20 +216,19 @@ class Encoder:
                 ids += [self.added[part]] if part in self.added else self._plain(part) if part else []
         else:
             ids = self._plain(text)
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids]).encode()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text, little-endian, four bytes each."""
-        return b"".join([x[0] for x in map(self.pieces.__getitem__, (text or b"").split())])
+        return self.all([text])[0][0]
 
     def decode(self, ids: bytes) -> str:
         """What the library's decode gives for files without a decoder: tokens joined by spaces."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def both(self, text: bytes | None) -> tuple[bytes, bytes]:
-        """Ids, and the decoded text in UTF-8, put together from the decoded fragments."""
-        found = list(map(self.pieces.__getitem__, (text or b"").split()))
-        return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[0]])
+        """Ids and decoded text in UTF-8 of one text."""
+        return self.all([text])[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -153,8 +251,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bo
     def work(texts: list[bytes | None]) -> list[pa.Array]:
         e = encoder(path)
         n, hashes, decoded, flat = [], [], [], []
-        for text in texts:
-            found, back = e.both(text)
+        for found, back in e.all(texts):
             n.append(len(found) // 4)
             hashes.append(hashlib.sha256(found).hexdigest())
             decoded.append(hashlib.sha256(back).hexdigest())
