@@ -256,8 +256,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     salts = many.select("center", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"n div {SHARE}"))).alias("salt"), "n")
     spread = pairs.join(cut(many, "centers").select("center", "n"), "center").select("id", F.array("center", F.pmod(F.xxhash64("id"), F.expr(f"n div {SHARE} + 1"))).alias("g"))
     asked = spread.select("g", "id", F.lit(False).alias("c")).union(salts.select(F.array("center", "salt"), F.col("center"), F.lit(True)))
-    blank = {"label": F.lit(None).cast("bigint"), "band": F.lit(None).cast("int"), "bands": F.lit(None).cast("array<bigint>")}
-    first = asked.join(texts, "id").select("g", F.col("c").alias("center"), "id", "text", F.when(F.col("c"), -1).otherwise(-2).cast("bigint").alias("label"), blank["band"].alias("band"), blank["bands"].alias("bands"))
+    blank = {"band": F.lit(None).cast("int"), "bands": F.lit(None).cast("array<bigint>")}
+    # each row is a label of its own: a link to the center settles no other member of the group
+    first = asked.join(texts, "id").select("g", F.col("c").alias("center"), "id", "text", F.col("id").alias("label"), blank["band"].alias("band"), blank["bands"].alias("bands"))
     links = cut(_compare(first, size, percent), "links")
 
     # then, in buckets where that left several components, the members outside the center's with all members

@@ -80,3 +80,20 @@ def test_components(spark):
                 todo.append(m)
         assert got[n] == min(seen)
     assert set(got) == set(near)
+
+
+def test_two_partners(spark):
+    """A center with two near copies that are not linked to each other; some pairs share only buckets of two members."""
+    r = random.Random(11)
+    rows = []
+    for i in range(150):
+        center = [f"t{i}w{k}" for k in range(104)]
+        rows.append((3 * i, " ".join(center)))
+        for side in (0, 1):  # ten changed shingles at one end or the other: 0.82 with the center, 0.67 with each other
+            words = list(center)
+            for k in range(10):
+                words[k if side else -1 - k] = f"x{r.random()}"
+            rows.append((3 * i + 1 + side, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.classes(docs, percent=80).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
