@@ -173,10 +173,17 @@ def candidate_pairs(spark, sf):
 
 @query("D5_match_score")
 def match_score(spark, sf):
-    p = T_(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.min("p_brand").alias("p_brand"))
-    near = D.shared_grams(p.select("p_partkey", "p_name"), "p_partkey", X.trigrams(F.col("p_name")), 5)
+    """All pairs of parts that no guard on company or time bars and whose titles are equal or share two grams; the rest would score 0 or is no candidate."""
+    p = T_(spark, sf, "part").where("p_name is not null").select("p_partkey", "p_name", "p_brand", F.timestamp_seconds(F.col("p_partkey") * 60).alias("ts"))
+    titles = p.groupBy("p_name").agg(F.min("p_partkey").alias("title"))
+    near = D.shared_grams(titles, "title", X.trigrams(F.col("p_name")), None)
+    ordered = near.select("id", "other").union(near.select("other", "id")).union(titles.select("title", "title"))  # the ratio depends on the order
+    named = lambda key, name: titles.select(F.col("title").alias(key), F.col("p_name").alias(name))
+    ratios = ordered.join(named("id", "a_title"), "id").join(named("other", "b_title"), "other").select("a_title", "b_title", X.ratio()("a_title", "b_title").alias("ratio"))
+    pairs = P.near_pairs(p, "p_brand", "p_partkey", "ts", 72 * 3600).select(F.col("b").alias("id"), F.col("a").alias("other"))
     side = lambda n, key: p.select(F.col("p_partkey").alias(key), F.col("p_name").alias(f"{n}_title"), (F.col("p_partkey") * 60).alias(f"{n}_ts"), F.array("p_brand").alias(f"{n}_companies"), F.lit("ai").alias(f"{n}_channel"), X.numbers(F.col("p_name")).alias(f"{n}_numbers"))
-    return D.match_score(near.join(side("a", "id"), "id").join(side("b", "other"), "other"), X.ratio()).select("id", "other", "score")
+    asked = pairs.join(side("a", "id"), "id").join(side("b", "other"), "other").join(ratios, ["a_title", "b_title"])
+    return D.match_score(asked, lambda a, b: F.col("ratio")).select("id", "other", "score")
 
 
 @query("A21_labels_missing", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")

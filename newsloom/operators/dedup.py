@@ -99,8 +99,8 @@ def follow(pointers: DataFrame, ident: str, target: str) -> DataFrame:
     return now.select("id", F.when(F.col("ended") | F.col("missing"), F.col("at")).alias("end"), F.when(F.col("missing"), "missing").when(~F.col("ended"), "cycle").otherwise("ok").alias("state"))
 
 
-def shared_grams(df: DataFrame, ident: str, grams: Column, k: int, least: int = 2, common: int | None = None) -> DataFrame:
-    """For each row its k partners of smaller id with most grams in common, at least some; an inverted-index join.
+def shared_grams(df: DataFrame, ident: str, grams: Column, k: int | None, least: int = 2, common: int | None = None) -> DataFrame:
+    """For each row its k partners of smaller id with most grams in common, at least some; all of them if k is None. An inverted-index join.
 
     `common` leaves out grams that more rows than that have; it is a parameter of the operator, null by default: all count.
     """
@@ -109,6 +109,8 @@ def shared_grams(df: DataFrame, ident: str, grams: Column, k: int, least: int =
         rare = each.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("g")
         each = each.join(rare, "g", "left_semi")
     pairs = each.join(each.select(F.col("id").alias("other"), "g"), "g").where("other < id").groupBy("id", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    if k is None:
+        return pairs
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("shared").desc(), F.col("other")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 

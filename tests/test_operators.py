@@ -98,3 +98,24 @@ def test_first_per_story_ties(spark):
 def test_gate(spark):
     r = one(stats.gate(spark.createDataFrame([(5, None)], "n int, m int"), {"many": F.col("n") > 9, "known": F.col("m") > 0, "some": F.col("n") > 0}))
     assert r.failed == "many,known" and not r.passed
+
+
+def test_match_score_of_all_rows(spark, tmp_path):
+    """Every part is scored: equal titles, brands and times of their own, more than five partners, links as over all pairs."""
+    import difflib
+
+    from newsloom import more_queries
+
+    names = ["small blue ring", "small blue rings", "large blue ring", "cold widget 7", "cold widget 8", "ab", "zebra"]
+    parts = [(i + (5000 if i >= 40 else 0), names[i % 7], f"b{i % 3}") for i in range(80)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    out = more_queries.match_score(spark, str(tmp_path)).collect()
+    got = {(r.id, r.other): round(r.score, 6) for r in out if r.score >= 0.72}
+    want = {}
+    for j, s, x in parts:
+        for k, t, y in parts:
+            if k < j and x == y and j - k <= 72 * 60 and {s, t} != {"cold widget 7", "cold widget 8"}:
+                score = difflib.SequenceMatcher(None, s, t, autojunk=False).ratio()
+                if score >= 0.72:
+                    want[j, k] = round(score, 6)
+    assert len(out) == len({(r.id, r.other) for r in out}) and got == want
