@@ -186,6 +186,14 @@ def match_score(spark, sf):
     return D.match_score(asked, lambda a, b: F.col("ratio")).select("id", "other", "score")
 
 
+@query("D6_story_clusters")
+def story_clusters(spark, sf):
+    """Every part and its cluster: the smallest part that links of at least 0.72 lead to."""
+    links = match_score(spark, sf).where("score >= 0.72").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    found = D.components(links).select(F.col("node").alias("p_partkey"), "component")
+    return T_(spark, sf, "part").select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("component", "p_partkey").alias("story"))
+
+
 @query("A21_labels_missing", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def labels_missing(spark, sf):
     return S.missing_references(T_(spark, sf, "labels").select("doc_id"), "doc_id", T_(spark, sf, "documents"), "doc_id")

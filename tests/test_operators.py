@@ -119,3 +119,13 @@ def test_match_score_of_all_rows(spark, tmp_path):
                 if score >= 0.72:
                     want[j, k] = round(score, 6)
     assert len(out) == len({(r.id, r.other) for r in out}) and got == want
+
+
+def test_story_clusters(spark, tmp_path):
+    """Components of links: chains over times too far apart for a link, other brands and lone parts for themselves."""
+    from newsloom import more_queries
+
+    parts = [(1, "small blue ring", "b1"), (4001, "small blue rings", "b1"), (8001, "small blue ring", "b1"), (2, "small blue ring", "b2"), (20000, "small blue ring", "b1"), (3, "zebra", "b1"), (5, None, "b1")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.story for r in more_queries.story_clusters(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 4001: 1, 8001: 1, 2: 2, 20000: 20000, 3: 3, 5: 5}
