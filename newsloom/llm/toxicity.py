@@ -37,6 +37,7 @@ SMOOTH = 0.01
 BEGIN, END = "^", "$"
 _OUTER = re.compile(r"^[^\w@$!|+(]+|[^\w@$!|+]+$|[!]+$")
 _ODD = re.compile(r"(\w)\1\1|[\W\d_]")
+_TWICE = re.compile(r"(\w)\1")
 _LETTER = re.compile(r"[^\W\d_]")
 HIGHEST = 0x250
 
@@ -138,7 +139,8 @@ class Scorer:
         """The words that a token stands for."""
         token = _OUTER.sub("", raw.decode())
         if token.isalpha() and not _ODD.search(token):
-            return [token.lower()]
+            plain = token.lower()
+            return list({plain: None} | dict.fromkeys(self.channel.restore(plain))) if _TWICE.search(plain) else [plain]
         if not token or not (_LETTER.search(token) or any(c in LEET for c in token)):
             return []
         if _LETTER.search(token) is None and not any(not c.isdigit() for c in token):

@@ -61,3 +61,14 @@ def test_held_out(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [r for r in out if r.held_out and r.doc_id in truth]
     assert sum(truth[r.doc_id] == r.predicted for r in held) >= 0.9 * len(held)
+
+
+def test_doubled_letters(spark):
+    """One doubled letter disguises a word; a word that has one by right stays as it is, too."""
+    rows, labels = made(600, 1, lambda r, w: hidden(r, w) if r.random() < 0.3 else w)
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    scorer = toxicity.Scorer(model["counts"], model["weights"], model["model"])
+    for token, want in ((b"stuupid", "stupid"), (b"iidiot", "idiot"), (b"mooron", "moron"), (b"IDIOTT", "idiot"), (b"trees", "trees")):
+        assert want in scorer.words(token), (token, scorer.words(token))
+    assert all(scorer.token(t) > 0 for t in (b"iidiot", b"mooron"))
