@@ -2,16 +2,16 @@
 
 A segment is one self-contained byte string that holds whole documents:
 
-    header   magic "NLTF", version 1, plane kind (0 byte planes, 1 bit planes), two bytes of zero,
-             ids in the segment (u64), ids in a chunk (u32), chunks (u32), documents (u32)
+    header   magic "NLTF", version 2, plane kind (0 byte planes, 1 bit planes), two bytes of zero, ids in the
+             segment (u64), ids in a chunk (u32), chunks (u32), documents (u32), those of them, first, without a doc_id (u32)
     index    for each chunk: offset of its planes in the body (u64), ids (u32), and for each plane its size (u32)
     docs     for each document: its doc_id (i64) and ids (u32)
     body     planes: of each chunk's ids as unsigned 32-bit integers, transposed to byte or bit planes,
              each plane compressed with zstandard; a plane of size 0 is all zeros
 
-All numbers are little-endian. Segments lie in the rows of a Parquet table (shard, segment, n_ids, blob),
-as executors can write that to any store that Spark can. Ids run in ascending doc_id order over shards
-and segments. A chunk can be read alone by the index.
+All numbers are little-endian. Segments lie in the rows of a Parquet table (shard, segment, ahead, n_ids, blob; ahead counts the ids of
+the shard before the segment), as executors can write that to any store that Spark can. Ids run in ascending
+doc_id order over shards and segments. A chunk can be read alone by the index.
 """
 
 from __future__ import annotations
@@ -22,22 +22,27 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
+from .bpe import gather, vocabulary
 from .common import as_bytes, cut, partitions, per_worker, slices
 
 NAME, END = "byte_bpe_50k.json", 0
-MAGIC, VERSION = b"NLTF", 1
-HEAD = struct.Struct("<4sBBHQIII")
+MAGIC, VERSION = b"NLTF", 2
+HEAD = struct.Struct("<4sBBHQIIII")
 #: Ids in a chunk, and in a segment at least, unless documents end.
 CHUNK, SEGMENT = 1 << 15, 1 << 19
 PIECES = 400_000
+#: Pieces that one call of the library encodes, and characters of text whose pieces are looked up at once.
+TOGETHER, BATCH = 512, 16 << 20
+SEGMENTS = ["shard", "segment", "ahead", "n_ids", "blob"]
 
 
 def shuffle(ids: np.ndarray, bit: bool) -> list[bytes]:
@@ -57,7 +62,7 @@ def unshuffle(planes: list[bytes], n: int, bit: bool) -> np.ndarray:
     return np.ascontiguousarray(np.stack(rows, axis=1).astype(np.uint8)).view("<u4").ravel()
 
 
-def write_segment(doc_ids: list[int], counts: list[int], ids: np.ndarray, chunk: int = CHUNK, bit: bool = False, level: int = 1) -> bytes:
+def write_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, chunk: int = CHUNK, bit: bool = False, level: int = 1) -> bytes:
     squeeze = zstandard.ZstdCompressor(level=level).compress
     index, body, offset = [], [], 0
     for start in range(0, len(ids), chunk):
@@ -67,15 +72,16 @@ def write_segment(doc_ids: list[int], counts: list[int], ids: np.ndarray, chunk:
         body += packed
         offset += sum(map(len, packed))
     docs = np.zeros(len(doc_ids), np.dtype([("i", "<i8"), ("n", "<u4")]))
-    docs["i"], docs["n"] = doc_ids, counts
-    return b"".join([HEAD.pack(MAGIC, VERSION, int(bit), 0, len(ids), chunk, len(index), len(doc_ids)), *index, docs.tobytes(), *body])
+    nameless = doc_ids.count(None)
+    docs["i"], docs["n"] = [0] * nameless + doc_ids[nameless:], counts
+    return b"".join([HEAD.pack(MAGIC, VERSION, int(bit), 0, len(ids), chunk, len(index), len(doc_ids), nameless), *index, docs.tobytes(), *body])
 
 
 class Segment:
     """A segment's index; ids are read chunk by chunk."""
 
     def __init__(self, raw: bytes):
-        magic, version, bit, _, self.n, self.chunk, chunks, docs = HEAD.unpack_from(raw)
+        magic, version, bit, _, self.n, self.chunk, chunks, docs, self.nameless = HEAD.unpack_from(raw)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token segment")
         self.raw, self.bit, planes = raw, bool(bit), 32 if bit else 4
@@ -98,13 +104,18 @@ class Segment:
     def ids(self) -> np.ndarray:
         return np.concatenate([self.read_chunk(k) for k in range(len(self.index))]) if len(self.index) else np.zeros(0, "<u4")
 
+    def names(self) -> pa.Array:
+        """The doc_id of each document, null for those without one."""
+        return pa.array(self.doc_ids, mask=np.arange(len(self.doc_ids)) < self.nameless)
+
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which encodes each piece between single spaces once.
+    """Ids of texts by the tokenizers library, which encodes each distinct piece between single spaces once.
 
     The file's split never joins a space to what stands before it, so a text may be cut before each
-    space that has something other than white space on one side. Pieces not seen before are
-    encoded together, one after another as in a text, and the ids dealt out by their bytes.
+    space that has something other than white space on one side. A batch is cut in one go, its distinct
+    pieces not seen before are encoded together, one after another as in a text, the ids dealt out by their
+    bytes, and the ids of all texts gathered from them.
     """
 
     #: A space between white space, where a cut would change the split.
@@ -119,79 +130,83 @@ class Encoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token)  # one letter for each byte
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Pieces that are encoded alone: with white space at an end, or with an added token.
+        self.odd = re.compile("|".join([r"^$|^\s|\s$", *added])).search
+        #: Ids are kept as narrow as the vocabulary allows.
+        self.kind = "<u2" if len(self.size) <= 1 << 16 else "<u4"
         self.pieces: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        odd = [p for p in fresh if not p or p[0].isspace() or p[-1].isspace() or any(a in p for a in self.added)]
-        out = {p: self._one(" " + p) for p in odd}
-        plain = [p for p in fresh if p not in out]
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            text = " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        out = {p: self._ids(" " + p).tobytes() for p in fresh if self.odd(p)}
+        plain = [p for p in fresh if p not in out] if out else fresh
+        width = np.dtype(self.kind).itemsize
+        for start in range(0, len(plain), TOGETHER):
+            part = plain[start : start + TOGETHER]
+            ids = self._ids(" " + " ".join(part))
             ends = np.cumsum(self.size[ids])
             stops = np.cumsum([1 + len(p.encode()) for p in part])
             at = np.searchsorted(ends, stops) + 1
             if ends[-1] != stops[-1] or (ends[at - 1] != stops).any():
                 raise ValueError("ids do not end where pieces do")
-            raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
-            out.update({p: raw[a:z] for p, a, z in zip(part, at, at[1:], strict=False)})
+            raw, cuts = ids.tobytes(), (width * at).tolist()
+            out.update(zip(part, [raw[a:z] for a, z in zip([0, *cuts], cuts, strict=False)], strict=True))
         return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [None if t and self.INNER.search(t) else (t or "").split(" ") for t in texts]
-        fresh = {p for c in cuts if c for p in c[1:]}.difference(self.pieces) if len(self.pieces) < 64 else {p for c in cuts if c for p in c[1:] if p not in self.pieces}
-        known = self.pieces
+    def _known(self, names: list[str], kept: dict[str, bytes], most: int, learn) -> list[bytes]:
+        """The ids of distinct pieces, from those kept and, for the others, from one call of learn."""
+        values = list(map(kept.get, names))
+        fresh = [p for p, v in zip(names, values, strict=True) if v is None]
         if fresh:
-            new = self._learn(list(fresh))
-            if len(known) + len(new) <= PIECES:
-                known.update(new)
-            else:
-                known = _Both(known, new)
-        get = known.__getitem__
-        out = []
-        for t, c in zip(texts, cuts, strict=True):
-            if c is None:
-                out.append(self._one(t))
-                continue
-            if (first := self.firsts.get(c[0])) is None:
-                first = self._one(c[0]) if c[0] else b""
-                if len(self.firsts) < PIECES // 8:
-                    self.firsts[c[0]] = first
-            out.append(first + b"".join(map(get, c[1:])))
+            new = learn(fresh)
+            values = [new[p] if v is None else v for p, v in zip(names, values, strict=True)]
+            kept.update(islice(new.items(), max(0, most - len(kept))))
+        return values
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as bytes of the kind of this encoder; null has none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = [i for i, t in enumerate(texts.to_pylist()) if self.INNER.search(t)]
+        if whole:
+            alone = {i: self._ids(texts[i].as_py()).tobytes() for i in whole}
+            mask = np.zeros(len(texts), bool)
+            mask[whole] = True
+            texts = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), texts)
+        split = pc.split_pattern(texts, " ")
+        flat, bounds = split.flatten(), np.asarray(split.offsets, np.int64)
+        rest = np.ones(len(flat), bool)
+        rest[bounds[:-1]] = False
+        first, later = pc.dictionary_encode(flat.take(pa.array(bounds[:-1]))), pc.dictionary_encode(flat.filter(pa.array(rest)))
+        begin = self._known(first.dictionary.to_pylist(), self.firsts, PIECES // 8, lambda new: {p: self._ids(p).tobytes() for p in new})
+        inner = self._known(later.dictionary.to_pylist(), self.pieces, PIECES, self._learn)
+        at = np.empty(len(flat), np.int64)
+        at[bounds[:-1]] = first.indices.to_numpy()
+        at[rest] = later.indices.to_numpy().astype(np.int64) + len(begin)
+        out = gather(pa.array(begin + inner, pa.large_binary()), at, bounds).to_pylist()
+        if whole:
+            for i, ids in alone.items():
+                out[i] = ids
         return out
 
 
-class _Both(dict):
-    """The pieces of this batch, and behind them those kept."""
-
-    def __init__(self, kept: dict, new: dict):
-        super().__init__(new)
-        self.kept = kept
-
-    def __missing__(self, key):
-        return self.kept[key]
-
-
 def encoder(path: str) -> Encoder:
     return per_worker(("token file", path), partial(Encoder, path))
 
 
 def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int | None = END, bit: bool = False) -> DataFrame:
-    """Encode the texts and write them to the shared folder; gives the table of segments as read back: shard, segment, n_ids, blob.
+    """Encode the texts and write them to the shared folder; gives the table of segments as read back: SEGMENTS.
 
     Documents run in ascending doc_id order, with the id `end` after each. Null and empty texts have only that id. A document
-    is never split between segments, so a very long text makes a long segment. Rows with a null doc_id are left out;
-    rows that share one follow one another. An empty table gives no segment.
+    is never split between segments, so a very long text makes a long segment. Rows with a null doc_id come first;
+    rows that share one follow one another in any order. An empty table gives no segment.
     """
     spark = docs.sparkSession
     path = path or vocabulary(NAME)
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     shards = max(1, partitions(spark))
     # one number for each shard
     bounds = rows.select("id").approxQuantile("id", [k / shards for k in range(1, shards)], 0.2 / shards) if shards > 1 else []
@@ -201,29 +216,28 @@ def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, edges = encoder(path), np.array(shared)
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = part.column(0).to_numpy()
-                found = e.batch(part.column(1).to_pylist())
-                shard = np.searchsorted(edges, ids.astype(np.float64), side="right").astype(np.int32)
+            for part in slices(batch, "text", BATCH):
+                ids = part.column(0)
+                found = e.batch(part.column(1))
+                shard = np.searchsorted(edges, ids.cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(), side="right").astype(np.int32)
                 if end is not None:
-                    tail = struct.pack("<I", end)
+                    tail = np.array([end], e.kind).tobytes()
                     found = [x + tail for x in found]
-                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if len(e.size) <= 1 << 16 else x for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array(narrow, pa.binary())], ["shard", "id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(found, pa.binary())], ["shard", "id", "ids"])
 
     def write_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if len(encoder(path).size) <= 1 << 16 else "<u4"
-        keys, counts, parts, held, now, number = [], [], [], 0, None, 0
+        kind = encoder(path).kind
+        keys, counts, parts, held, now, number, ahead = [], [], [], 0, None, 0, 0
 
         def segment() -> pa.RecordBatch:
             blob = write_segment(keys, counts, np.concatenate(parts), bit=bit)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], ["shard", "segment", "n_ids", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([number], pa.int32()), pa.array([ahead], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], SEGMENTS)
 
         for batch in batches:
             for shard, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 if keys and (shard != now or held >= SEGMENT):
                     yield segment()
-                    number = number + 1 if shard == now else 0
+                    number, ahead = (number + 1, ahead + held) if shard == now else (0, 0)
                     keys, counts, parts, held = [], [], [], 0
                 now = shard
                 ids = np.frombuffer(raw, kind)
@@ -236,7 +250,7 @@ def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     coded = rows.mapInArrow(encode, "shard int, id long, ids binary")
     dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", "id")
-    return cut(dealt.mapInArrow(write_all, "shard int, segment int, n_ids long, blob binary"), "tokens")
+    return cut(dealt.mapInArrow(write_all, "shard int, segment int, ahead long, n_ids long, blob binary"), "tokens")
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -256,24 +270,21 @@ def digest(segments: DataFrame) -> DataFrame:
 
 def _read(segments: DataFrame, field: str, make) -> DataFrame:
     spark = segments.sparkSession
-    # one row for each shard: a running sum over them, then over the segments of each shard
+    # one row for each shard: a running sum over them; a segment knows what its shard has before it
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
     base, before = [], 0
     for shard, n in sorted((r["shard"], r["n"]) for r in totals):
         base.append((shard, before))
         before += n
     bases = F.broadcast(spark.createDataFrame(base, "shard int, base long"))  # as many rows as there are shards
-    lone = segments.select("shard", "segment", "n_ids")
-    left = lone.select("shard", F.col("segment").alias("other"), F.col("n_ids").alias("more"))
-    ahead = lone.join(left, "shard").where("other < segment").groupBy("shard", "segment").agg(F.sum("more").alias("ahead"))
-    placed = segments.join(ahead, ["shard", "segment"], "left").join(bases, "shard").select((F.col("base") + F.coalesce("ahead", F.lit(0))).alias("first"), "blob")
+    placed = segments.join(bases, "shard").select((F.col("base") + F.col("ahead")).alias("first"), "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = Segment(blob)
                 ends = np.concatenate([[0], np.cumsum(s.counts)])
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids), pa.array(first + ends[:-1]), pa.array(s.counts), make(s.ids(), ends)], ["doc_id", "start", "n_tokens", field.split()[0]])
+                yield pa.RecordBatch.from_arrays([s.names(), pa.array(first + ends[:-1]), pa.array(s.counts), make(s.ids(), ends)], ["doc_id", "start", "n_tokens", field.split()[0]])
 
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
 

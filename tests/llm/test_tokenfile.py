@@ -58,6 +58,21 @@ def test_round_trip(bit):
 
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "gone"), (3, "a b"), (3, "a b"), (1, None)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.start, r.n_tokens) for r in tokenfile.digest(tokenfile.write(docs)).collect())
-    assert got == [(1, 0, 1), (3, 1, 3), (3, 4, 3)]
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in tokenfile.digest(tokenfile.write(docs)).collect()))
+    assert [(i, n) for _, i, n in got] == [(None, 2), (1, 1), (3, 3), (3, 3)] and [s for s, _, _ in got] == [0, 2, 3, 6]
     assert tokenfile.digest(tokenfile.write(docs.limit(0))).count() == 0
+
+
+def test_segments_and_long_text(spark, monkeypatch):
+    """Several segments to a shard, and one text of over a megabyte: starts run on, ids are the library's."""
+    monkeypatch.setattr(tokenfile, "SEGMENT", 50)
+    long = " ".join(f"word{i % 977} x{i}" for i in range(90_000))
+    rows = [(i, f"some words {i} " * (i % 7)) for i in range(200)] + [(77_000, long)]
+    t, start = library(), 0
+    segments = tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert segments.groupBy("shard").count().where("count > 3").count()
+    got = {r.doc_id: r for r in tokenfile.digest(segments).collect()}
+    for i, x in rows:
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
