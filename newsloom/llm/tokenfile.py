@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import gather, vocabulary
+from .bpe import byte_letters, gather, vocabulary
 from .common import as_bytes, cut, partitions, per_worker, slices
 
 NAME, END = "byte_bpe_50k.json", 0
@@ -39,9 +39,11 @@ MAGIC, VERSION = b"NLTF", 2
 HEAD = struct.Struct("<4sBBHQIIII")
 #: Ids in a chunk, and in a segment at least, unless documents end.
 CHUNK, SEGMENT = 1 << 15, 1 << 19
-PIECES = 400_000
-#: Pieces that one call of the library encodes, and characters of text whose pieces are looked up at once.
-TOGETHER, BATCH = 512, 16 << 20
+#: Words, and first pieces of texts, that a worker keeps; characters of text whose pieces are looked up at once.
+WORDS, FIRSTS, BATCH = 400_000, 50_000, 16 << 20
+#: How byte-level tokenizers split texts into words (a fixed value), and white space among the letters of Latin scripts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANK = r"[\s\x0b\x1c-\x1f\x85\xa0]"
 SEGMENTS = ["shard", "segment", "ahead", "n_ids", "blob"]
 
 
@@ -113,9 +115,9 @@ class Encoder:
     """Ids of texts by the tokenizers library, which encodes each distinct piece between single spaces once.
 
     The file's split never joins a space to what stands before it, so a text may be cut before each
-    space that has something other than white space on one side. A batch is cut in one go, its distinct
-    pieces not seen before are encoded together, one after another as in a text, the ids dealt out by their
-    bytes, and the ids of all texts gathered from them.
+    space that has something other than white space on one side. A batch is cut in one go, its distinct pieces
+    are split into words as the library does, distinct words not seen before are encoded by its model, and
+    the ids of all texts are gathered from them.
     """
 
     #: A space between white space, where a cut would change the split.
@@ -123,48 +125,56 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.size[i] = len(token)  # one letter for each byte
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Pieces that are encoded alone: with white space at an end, or with an added token.
-        self.odd = re.compile("|".join([r"^$|^\s|\s$", *added])).search
+        #: Pieces that the library encodes alone: with white space at an end, letters beyond Latin, or an added token.
+        self.odd = "|".join([f"^$|^{BLANK}|{BLANK}$|[^\\x00-\\x{{24f}}]", *added])
+        self.split = regex.compile(SPLIT).findall
+        self.letters = dict(enumerate(byte_letters()))
         #: Ids are kept as narrow as the vocabulary allows.
-        self.kind = "<u2" if len(self.size) <= 1 << 16 else "<u4"
-        self.pieces: dict[str, bytes] = {}
+        self.kind = "<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+        self.words: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        out = {p: self._ids(" " + p).tobytes() for p in fresh if self.odd(p)}
-        plain = [p for p in fresh if p not in out] if out else fresh
-        width = np.dtype(self.kind).itemsize
-        for start in range(0, len(plain), TOGETHER):
-            part = plain[start : start + TOGETHER]
-            ids = self._ids(" " + " ".join(part))
-            ends = np.cumsum(self.size[ids])
-            stops = np.cumsum([1 + len(p.encode()) for p in part])
-            at = np.searchsorted(ends, stops) + 1
-            if ends[-1] != stops[-1] or (ends[at - 1] != stops).any():
-                raise ValueError("ids do not end where pieces do")
-            raw, cuts = ids.tobytes(), (width * at).tolist()
-            out.update(zip(part, [raw[a:z] for a, z in zip([0, *cuts], cuts, strict=False)], strict=True))
-        return out
-
-    def _known(self, names: list[str], kept: dict[str, bytes], most: int, learn) -> list[bytes]:
-        """The ids of distinct pieces, from those kept and, for the others, from one call of learn."""
+    def _word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.kind).tobytes()
+
+    def _learn(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, each after a space: all are split into words in one go, and the library's model encodes distinct words."""
+        odd = pc.match_substring_regex(pieces, self.odd).to_numpy(zero_copy_only=False)
+        alone = [self._ids(" " + p).tobytes() for p in pieces.filter(pa.array(odd)).to_pylist()]
+        plain = pieces.filter(pa.array(~odd))
+        found = []
+        if len(plain):
+            split = pa.array(self.split(" " + " ".join(plain.to_pylist())), pa.large_string())
+            coded = pc.dictionary_encode(split)
+            # a space begins a piece's first word, and no other word
+            at = coded.indices.to_numpy()
+            starts = np.flatnonzero(pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)[at])
+            if len(starts) != len(plain):
+                raise ValueError("words do not begin where pieces do")
+            values = self._known(coded.dictionary.to_pylist(), self.words, WORDS, lambda new: map(self._word, new))
+            found = [gather(pa.array(values, pa.large_binary()), at, np.append(starts, len(at)))]
+        place = np.where(odd, np.cumsum(odd) - 1, np.cumsum(~odd) - 1 + len(alone))
+        return pa.concat_arrays([pa.array(alone, pa.large_binary()), *found]).take(pa.array(place))
+
+    @staticmethod
+    def _known(names: list[str], kept: dict[str, bytes], most: int, learn) -> list[bytes]:
+        """The ids of distinct names, from those kept and, for the others, from one call of learn."""
         values = list(map(kept.get, names))
         fresh = [p for p, v in zip(names, values, strict=True) if v is None]
         if fresh:
-            new = learn(fresh)
-            values = [new[p] if v is None else v for p, v in zip(names, values, strict=True)]
-            kept.update(islice(new.items(), max(0, most - len(kept))))
+            new = list(learn(fresh))
+            kept.update(islice(zip(fresh, new, strict=True), max(0, most - len(kept))))
+            more = iter(new)
+            values = [next(more) if v is None else v for v in values]
         return values
 
     def batch(self, texts: pa.Array) -> list[bytes]:
@@ -181,12 +191,12 @@ class Encoder:
         rest = np.ones(len(flat), bool)
         rest[bounds[:-1]] = False
         first, later = pc.dictionary_encode(flat.take(pa.array(bounds[:-1]))), pc.dictionary_encode(flat.filter(pa.array(rest)))
-        begin = self._known(first.dictionary.to_pylist(), self.firsts, PIECES // 8, lambda new: {p: self._ids(p).tobytes() for p in new})
-        inner = self._known(later.dictionary.to_pylist(), self.pieces, PIECES, self._learn)
+        begin = self._known(first.dictionary.to_pylist(), self.firsts, FIRSTS, lambda new: [self._ids(p).tobytes() for p in new])
+        inner = self._learn(later.dictionary)
         at = np.empty(len(flat), np.int64)
         at[bounds[:-1]] = first.indices.to_numpy()
         at[rest] = later.indices.to_numpy().astype(np.int64) + len(begin)
-        out = gather(pa.array(begin + inner, pa.large_binary()), at, bounds).to_pylist()
+        out = gather(pa.concat_arrays([pa.array(begin, pa.large_binary()), inner]), at, bounds).to_pylist()
         if whole:
             for i, ids in alone.items():
                 out[i] = ids
