@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import free_name
 
 #: The kinds in the order in which results list them; the first four are the contract's.
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
@@ -57,24 +58,33 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """docs with a column out: array of struct(kind int, start, stop, text, score), by kind, then start.
 
     kind indexes KINDS; offsets count code points, stop is exclusive. A null or empty text has an
-    empty array. Equal spans of different kinds all stay; repeated rows each get their spans. A column
-    named as out that docs already has is replaced; every other column stays.
+    empty array. Equal spans of different kinds all stay; repeated rows each get their spans; a very long text or
+    one of very many matches takes time in proportion. A column named as out that docs already has is replaced;
+    every other column stays, whatever its name. An empty table stays empty.
     """
+    taken = [*docs.columns, out]
+    names = {k: free_name(f"m_{k}", taken) for k in PATTERNS}
+    spans, parts = free_name("found_spans", taken), free_name("found_parts", taken)
     body = F.coalesce(F.col(text), F.lit(""))
+    blank = F.array().cast("array<string>")
     has = {"email": F.contains(body, F.lit("@")), "phone": F.contains(body, F.lit("+"))}
-    work = docs.withColumns({f"__m_{k}": F.when(has[k], F.regexp_extract_all(body, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) if k in has else F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
-    found = [S.located(body, F.col(f"__m_{k}"), PATTERNS[k], i, (lambda m, k=k: _confirmed(k, m)) if _confirmed(k, F.lit("")) is not None else None) for i, k in enumerate(KINDS)]
-    work = work.withColumn("__found", F.concat(*found))
-
-    def scored(s: Column) -> Column:
-        around = F.lower(F.concat(F.substring(body, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))), F.lit(" "), F.substring(body, s["stop"] + 1, F.lit(REACH))))
+    matched = {names[k]: F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
+    work = docs.withColumns({n: F.when(has[k], matched[n]).otherwise(blank) if k in has else matched[n] for k, n in names.items()})
+    found = [S.located(body, F.col(names[k]), PATTERNS[k], i, (lambda m, k=k: _confirmed(k, m)) if _confirmed(k, F.lit("")) is not None else None) for i, k in enumerate(KINDS)]
+    work = work.withColumn(spans, F.concat(*found))
+    work = work.withColumn(parts, F.when(F.size(spans) > 0, S.chunks(body)).otherwise(blank))
+
+    def scored(s: Column, text_parts: Column) -> Column:
+        near = lambda a, z: S.piece(text_parts, a, z)
+        around = F.lower(F.concat(near(F.greatest(s["start"] - REACH, F.lit(0)), s["start"]), F.lit(" "), near(s["stop"], s["stop"] + REACH)))
         score = F.lit(0.0)
         for i, k in enumerate(KINDS):
             score = F.when(s["kind"] == i, F.least(F.lit(1.0), F.lit(SCORES[k]) + F.when(around.rlike(CONTEXT[k]), NEAR).otherwise(0.0))).otherwise(score)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), score.alias("score"))
 
-    kept = F.filter(F.transform(F.col("__found"), scored), lambda s: (s["kind"] < BASE) | (s["score"] >= KEEP))
-    return work.withColumn(out, kept).drop("__found", *[f"__m_{k}" for k in PATTERNS])
+    both = F.struct(F.col(spans).alias("spans"), F.col(parts).alias("parts"))
+    kept = S.let(both, lambda x: F.filter(F.transform(x["spans"], lambda s: scored(s, x["parts"])), lambda s: (s["kind"] < BASE) | (s["score"] >= KEEP)))
+    return work.withColumn(out, kept).drop(spans, parts, *names.values())
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,7 +54,8 @@ def builtin_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
 def train(samples: DataFrame) -> list[float]:
     """Log ratios P(next | char, random) / P(next | char, ordinary), row by row; samples: token, random."""
     marked = samples.where("token is not null and random is not null")
-    marked = marked.where("random").limit(SAMPLES).union(marked.where("not random").limit(SAMPLES))
+    order = [F.xxhash64("token"), "token"]  # so that the choice is the same however rows lie
+    marked = marked.where("random").orderBy(*order).limit(SAMPLES).union(marked.where("not random").orderBy(*order).limit(SAMPLES))
     codes = marked.select("random", codes_of(F.col("token")).alias("c"))
     pairs = codes.select("random", F.explode(F.zip_with(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), lambda a, b: a * SIZE + b)).alias("pair"))
     counts = {True: [SMOOTH] * SIZE * SIZE, False: [SMOOTH] * SIZE * SIZE}
@@ -100,34 +101,43 @@ def find(docs: DataFrame, text: str = "text", table: list[float] | None = None,
 
     kind indexes KINDS; offsets count code points, stop is exclusive. `random` spans are long runs
     that touch no span of the fixed kinds and whose mean log ratio passes THRESHOLD. A null or empty
-    text has an empty array; repeated rows each get their spans. A column named as out that docs
-    already has is replaced; every other column stays.
+    text has an empty array; repeated rows each get their spans; a very long text or one of very many matches takes
+    time in proportion. A column named as out that docs already has is replaced; every other column stays,
+    whatever its name. An empty table stays empty.
     """
     table = table or default_table(docs.sparkSession)
+    taken = [*docs.columns, out]
+    names = {k: free_name(f"m_{k}", taken) for k in PATTERNS}
+    base, more = free_name("base_spans", taken), free_name("more_spans", taken)
     body = F.coalesce(F.col(text), F.lit(""))
-    work = docs.withColumns({f"__m_{k}": F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
+    work = docs.withColumns({names[k]: F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
     keep = {"assign": lambda m: F.length(F.regexp_extract(m, _VALUE, 1)) >= 8, "random": lambda m: ratio(m, table) >= THRESHOLD}
-    found = {k: S.located(body, F.col(f"__m_{k}"), PATTERNS[k], i, keep.get(k)) for i, k in enumerate(KINDS)}
-    work = work.withColumn("__base", F.concat(*[found[k] for k in KINDS[:BASE]])).withColumn("__more", found["random"])
-    apart = F.filter("__more", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"])))
+    found = {k: S.located(body, F.col(names[k]), PATTERNS[k], i, keep.get(k)) for i, k in enumerate(KINDS)}
+    work = work.withColumn(base, F.concat(*[found[k] for k in KINDS[:BASE]])).withColumn(more, found["random"])
     by_place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["text"].alias("text"))
-    ordered = F.array_sort(F.transform(F.concat("__base", apart), by_place))
-    return work.withColumn(out, ordered).drop("__base", "__more", *[f"__m_{k}" for k in PATTERNS])
+    ordered = F.array_sort(F.transform(F.concat(base, S.apart(F.col(more), F.col(base))), by_place))
+    return work.withColumn(out, ordered).drop(base, more, *names.values())
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", table: list[float] | None = None) -> DataFrame:
-    """docs with each stretch of text that secrets cover replaced by the mark; other columns and texts stay as they are."""
-    name = free_name("secrets", docs.columns)
-    found = find(docs.withColumn("__text", F.col(text)), "__text", table, name)
-    body = F.col("__text")
-
-    def step(a: Column, s: Column) -> Column:
-        part = F.when(s["start"] >= a["pos"], F.concat(F.substring(body, a["pos"] + 1, s["start"] - a["pos"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(a["pos"], s["stop"]).alias("pos"), F.concat(a["out"], F.array(part)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    cleared = F.aggregate(name, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["pos"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size(name) > 0, cleared).otherwise(F.col(text))).drop("__text", name)
+    """docs with each stretch of text that secrets cover replaced by the mark; other columns and texts stay as they are.
+
+    Spans that overlap give one mark. Null and empty texts stay; so does an empty table.
+    """
+    spans, parts = free_name("secret_spans", docs.columns), free_name("secret_parts", docs.columns)
+    found = find(docs, text, table, spans).withColumn(parts, F.when(F.size(spans) > 0, S.chunks(F.col(text))))
+    # how far spans reach up to each, which is where the text after it goes on
+    reach = S.running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+
+    def joined(x: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(x["reach"], i - 1)).otherwise(0)
+            return F.when(s["start"] >= before, F.concat(S.piece(x["parts"], before, s["start"]), F.lit(mark))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(x["spans"], part), ""), S.piece(x["parts"], F.element_at(x["reach"], -1), F.length(text)))
+
+    cleared = S.let(F.struct(F.col(spans).alias("spans"), F.col(parts).alias("parts"), reach.alias("reach")), joined)
+    return found.withColumn(text, F.when(F.size(spans) > 0, cleared).otherwise(F.col(text))).drop(spans, parts)
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,9 +1,12 @@
 """PII and secrets against plain Python regular expressions."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import pii, secrets
 
@@ -82,3 +85,85 @@ def test_redact_and_empty(spark):
     assert secrets.redact(docs).columns == docs.columns
     for module in (pii, secrets):
         assert module.digest(docs.limit(0)).count() == 0
+
+
+def brute_redact(t, spans):
+    out, pos = [], 0
+    for a, z in spans:
+        if a >= pos:
+            out += [t[pos:a], "[SECRET]"]
+        pos = max(pos, z)
+    return "".join(out) + t[pos:]
+
+
+def test_many_matches_in_long_texts(spark):
+    """Texts of a megabyte with tens of thousands of matches end soon, and are right."""
+    rows = [
+        (1, "".join(f"10.{i % 256}.{i // 256 % 256}.7 é💥 " for i in range(32_000))),
+        (2, "".join(f"{i:032x} x token=abcdefgh{i} Zk3{i}xQ9vXz8LmN3pRw7KsB2yH " for i in range(8_000))),
+        (3, "word " * 250_000 + "mail me@x.org"),
+        (4, "a@b" + ".c" * 20_000 + " " + "Ab1" * 5_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, brute in ((pii, brute_pii), (secrets, brute_secrets)):
+        start = time.time()
+        out = {r.doc_id: r for r in module.digest(docs).collect()}
+        assert time.time() - start < 60
+        for i, t in rows:
+            assert out[i].base_sha256 == hashlib.sha256(joined(brute(t)).encode()).hexdigest(), (module, i)
+    start = time.time()
+    got = {r.doc_id: r for r in secrets.find(docs).collect()}
+    back = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.time() - start < 60
+    for i, t in rows:
+        assert back[i] == brute_redact(t, [(s.start, s.stop) for s in got[i].secrets])
+
+
+def test_clashing_names(spark):
+    """Columns named like those that the operators make for themselves all stay."""
+    names = ["found_spans", "found_parts", "m_email", "m_hex", "base_spans", "more_spans", "secret_spans", "secret_parts", "M_IP", "__found", "__text"]
+    docs = spark.createDataFrame([("call +1 555 123 4567 token=abcdefgh1", *names)], ", ".join(f"{n} string" for n in ["text", *names]))
+    for out in (pii.find(docs), secrets.find(docs), secrets.redact(docs)):
+        row = out.collect()[0].asDict()
+        assert {n: row[n] for n in names} == {n: n for n in names}
+
+
+def test_random_spans_touch_no_fixed_one(spark):
+    """`random` spans against brute force: the mean log ratio of the bigrams, and no overlap with a fixed kind."""
+    table = secrets.default_table(spark)
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+
+    def ratio(t):
+        c = [place[x] for x in t]
+        return sum(float(f"{table[a * secrets.SIZE + b]:.5f}") for a, b in zip(c, c[1:], strict=False)) / (len(c) - 1)
+
+    r = random.Random(4)
+    texts = []
+    for _ in range(120):
+        parts = ["".join(r.choices(secrets.ALPHABET, k=r.randrange(10, 60))) for _ in range(5)] + ["getUserFileName2", "token=" + "".join(r.choices("abcXYZ019", k=30)), "/data/user/path/file/name/9", f"{r.getrandbits(160):040x}"]
+        r.shuffle(parts)
+        texts.append(" ".join(parts))
+    got = {x.doc_id: x.secrets for x in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = brute_secrets(t)
+        want = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", t):
+            if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and not any(a < m.end() and z > m.start() for _, a, z in base) and abs(ratio(m.group()) - secrets.THRESHOLD) > 1e-9 and ratio(m.group()) >= secrets.THRESHOLD:
+                want.append((m.start(), m.end()))
+        assert [(s.start, s.stop) for s in got[i] if s.kind == secrets.BASE] == want, t
+
+
+def test_mod97(spark):
+    from newsloom.llm import spans
+
+    def right(t):
+        t = t.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+    r = random.Random(6)
+    texts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82WEST12345698765433"]
+    texts += ["".join(r.choices("ABCXYZ", k=2) + r.choices("0123456789", k=2) + r.choices("0123456789ABCXYZ", k=r.randrange(12, 30))) for _ in range(2000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.mod97(F.col("t")).alias("ok")).collect()
+    assert sum(x.ok for x in got) > 10
+    for x in got:
+        assert x.ok == right(x.t), x.t
