@@ -267,7 +267,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bo
 
 
 def decode(frame: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
-    """frame with the text that its arrays of ids decode to; null for null."""
+    """frame with the text that its arrays of ids decode to; null for null, and ids that are null or not in the vocabulary are left out, as the library does."""
     path = path or vocabulary()
     out = free_name(out, frame.columns)
     at, names = frame.columns.index(ids), [*frame.columns, out]
@@ -275,7 +275,7 @@ def decode(frame: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     def run(batches):
         e = encoder(path)
         for batch in batches:
-            texts = [None if x is None else " ".join([e.tokens[i] for i in x]) for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else " ".join([e.tokens[i] for i in x if i in e.tokens]) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(out, T.StringType())]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,30 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._newsloom_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+#: Tables that cut() wrote within each scratch() that is open.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that cut() writes within are deleted at the end, but for those added to the list given, which what encloses it then owns."""
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        made = _OPEN.pop()
+        names = {getattr(k, "_newsloom_path", None) for k in kept}
+        release(*[t for t in made if t._newsloom_path not in names])
+        if _OPEN:
+            _OPEN[-1].extend(t for t in made if t._newsloom_path in names)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that cut() wrote and nobody reads any more."""
     for df in frames:
@@ -156,4 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
         release(now)
         now = after
         if not changed:
-            return now.select("node", F.col("up").alias("component"))
+            release(link)
+            out = now.select("node", F.col("up").alias("component"))
+            out._newsloom_path = now._newsloom_path
+            return out

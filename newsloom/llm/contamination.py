@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, free_name, per_worker, slices
+from .common import as_bytes, per_worker, slices
 
 #: Edits allowed for each hundred characters of an item, and the shortest piece; the budget shrinks until pieces are as long.
 ERRORS, PIECE = 10, 6
+#: Normalised items of fewer characters are no reason to drop a document: they stand in ordinary text by chance, and one of them could empty a corpus.
+SHORTEST = 20
 #: Characters of test items that are sent to the executors at once; a longer benchmark is taken in blocks.
 BLOCK_CHARS = 8 << 20
 
@@ -147,12 +149,12 @@ class Matcher:
         return sorted(out)
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, item_id: str, text: str, most: int, shortest: int = 1) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, read one partition at a time; equal texts stay apart by their ids."""
     block, size = [], 0
     for row in benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).toLocalIterator():
         item = normal(row["t"])
-        if item and row["i"] is not None:
+        if len(item) >= shortest and row["i"] is not None:
             block.append((row["i"], item))
             size += len(item)
         if size >= most:
@@ -165,12 +167,12 @@ def _matcher(shared, tag: str, errors: int) -> Matcher:
     return per_worker(("benchmark", tag, errors), lambda: Matcher(shared.value, errors))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", errors: int = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", errors: int = ERRORS, block_chars: int = BLOCK_CHARS, shortest: int = 1) -> DataFrame:
     """doc_id, item_id, distance, start, stop: the best passage of each document for each item within its budget.
 
     Texts are compared in lower case with runs of white space as one space; start and stop are code points of the text so
     normalised. The budget is `errors` edits for each hundred characters of the item, less for items so short that pieces would fall below
-    PIECE characters. Null and empty texts and items match nothing; very long texts are searched whole; repeated rows
+    PIECE characters. Null and empty texts, and items of fewer than `shortest` characters, match nothing; very long texts are searched whole; repeated rows
     each give their matches; an empty table on either side gives no rows. A benchmark of any size is taken in blocks.
     """
     spark = docs.sparkSession
@@ -178,7 +180,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     kind = rows.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in ("item_id", "distance", "start", "stop")]])
     out = None
-    for block in blocks(benchmark, item_id, item_text, block_chars):
+    for block in blocks(benchmark, item_id, item_text, block_chars, shortest):
         shared = spark.sparkContext.broadcast(block)  # bounded by block_chars
         tag = str(hash(tuple(block)))
 
@@ -200,13 +202,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", errors: int = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs without any passage of the benchmark, with the columns of docs; rows with a null text stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", errors: int = ERRORS, block_chars: int = BLOCK_CHARS, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of docs without any passage of the benchmark, with the columns of docs.
+
+    Rows with a null or empty text stay, as do all rows where no item has `shortest` characters; repeated rows each stay or go; an empty table stays empty.
+    """
     spark = docs.sparkSession
     at = docs.columns.index(text)
-    size_name = free_name("size", [])
-    del size_name
-    for block in blocks(benchmark, item_id, item_text, block_chars):
+    for block in blocks(benchmark, item_id, item_text, block_chars, shortest):
         shared = spark.sparkContext.broadcast(block)  # bounded by block_chars
         tag = str(hash(tuple(block)))
 

@@ -237,6 +237,7 @@ def detect(docs: DataFrame, model: dict, text: str = "text", penalty: float = PE
     """docs with lang_pred, score (0 to 1) and, if asked for, lang_spans (language, code point offsets, end exclusive).
 
     A text that is null or has no letter is `und` with score 0 and no spans, as is every text if the model knows no language.
+    The score of a text of one language is the logistic of its lead over the next; of a mixed text, the share of its letters.
     Very long texts are labelled whole; repeated rows get the same result; an empty table stays empty. A new column
     whose name docs already has gets an underscore before its name.
     """
@@ -256,11 +257,14 @@ def detect(docs: DataFrame, model: dict, text: str = "text", penalty: float = PE
     return append(docs, text, work, fields)
 
 
-def keep_identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """The rows of docs in which a language is found, with the columns of docs; texts without any letter go."""
+def keep_identified(docs: DataFrame, model: dict, text: str = "text", lang: str | None = None) -> DataFrame:
+    """The rows of docs in which a language is found, with the columns of docs; lang, if given, is the column that then bears it.
+
+    Null and empty texts and those without any letter go; repeated rows each stay or go; an empty table stays empty.
+    """
     found = detect(docs, model, text, spans=False)
     pred = found.columns[len(docs.columns)]
-    return found.where(F.col(pred) != UNKNOWN).select(*docs.columns)
+    return found.where(F.col(pred) != UNKNOWN).select(*[F.col(pred).alias(c) if c == lang else F.col(c) for c in docs.columns])
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, components, cut, free_name, over_texts, partitions, per_worker
+from .common import Words, as_bytes, components, cut, free_name, over_texts, partitions, per_worker, scratch
 
 WORDS_KEPT = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -109,7 +109,7 @@ TILE = 8192
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """id, n (size of the set), fa, fb (128 bits of the word sequence), bands (array of long; null for an empty set)."""
+    """id, n (size of the set), ta, tb (hashes of the text), fa, fb (128 bits of the word sequence), bands (array of long; null for an empty set)."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         c = Circulant(bands, rows)
@@ -139,9 +139,10 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, r
         n = np.array(n, np.int64)
         flat = pa.array(keys.view(np.int64).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (part.num_rows + 1) * bands, bands, dtype=np.int32)), flat, mask=pa.array(n == 0))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), lists], ["id", "n", "fa", "fb", "bands"])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), part.column(2), part.column(3), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), lists], ["id", "n", "ta", "tb", "fa", "fb", "bands"])
 
-    return over_texts(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")), "text", work, "id long, n long, fa long, fb long, bands array<long>")
+    narrow = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(F.lit(1), F.col(text)).alias("ta"), F.xxhash64(F.lit(2), F.col(text)).alias("tb"))
+    return over_texts(narrow, "text", work, "id long, n long, ta long, tb long, fa long, fb long, bands array<long>")
 
 
 def _compare(groups: DataFrame, size: int, percent: int) -> DataFrame:
@@ -233,15 +234,27 @@ def _rest(named: DataFrame) -> DataFrame:
     return cut(rest.union(mids), "rest")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, size: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, size: int = 5, bands: int = 20, rows: int = 4, texts: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept; with texts, also two hashes of the text.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of shingles; component_id
     is the smallest doc_id reachable by links and kept tells whether it is the row's own. Documents
     with fewer words than a shingle have their whole sequence as their set; without words, or with a null
-    text, the set is empty and nothing is linked. Rows that share a doc_id stand for one document; a
-    null doc_id is in no component (component_id null) and kept. An empty table gives an empty result.
+    text, the set is empty and nothing is linked. Rows that share a doc_id stand for one document, but each is kept
+    by its own text; a null doc_id is in no component (component_id null) and kept. An empty table gives an empty result.
     """
+    with scratch() as stay:
+        signed, folded, label = _linked(docs, doc_id, text, percent, size, bands, rows)
+        stay += [signed, folded, label]
+    named = folded.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("fa", "fb", F.coalesce("component", "id").alias("component"))
+    out = signed.join(named, ["fa", "fb"], "left")
+    found = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    more = ["ta", "tb"] if texts else []
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"), *more)
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, percent: int, size: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the distinct word sequences among them, and the components of their links."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = cut(signatures(docs, doc_id, text, size, bands, rows), "signatures")
     some = signed.where("n > 0 and id is not null")
@@ -269,18 +282,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     if groups.limit(1).count():
         links = cut(links.union(_compare(groups.join(texts, "id"), size, percent)), "links")
         label = components(links)
-
-    named = folded.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("fa", "fb", F.coalesce("component", "id").alias("component"))
-    out = signed.join(named, ["fa", "fb"], "left")
-    found = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))
+    return signed, folded, label
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is the smallest of its group, one row per doc_id; rows with a null doc_id all stay."""
-    kept = classes(docs, doc_id, text, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(name := free_name("kept_id", docs.columns)))
-    one = docs.join(kept, F.col(doc_id) == F.col(name), "left_semi").dropDuplicates([doc_id])
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
+    """The rows of docs whose document is the smallest of its group; rows with a null doc_id all stay.
+
+    Of rows with one doc_id and text, one stays. Rows with one doc_id and different texts are judged each by its own text, so
+    that no text is lost. Null and empty texts link with nothing and stay; an empty table stays empty.
+    """
+    a, b = free_name("text_a", docs.columns), free_name("text_b", docs.columns)
+    keyed = docs.withColumns({a: F.xxhash64(F.lit(1), F.col(text)), b: F.xxhash64(F.lit(2), F.col(text))})
+    found = classes(docs, doc_id, text, percent, texts=True).where("kept and doc_id is not null")
+    kept = found.select(F.col("doc_id").alias(name := free_name("kept_id", keyed.columns)), F.col("ta").alias(x := free_name("kept_a", keyed.columns)), F.col("tb").alias(y := free_name("kept_b", keyed.columns)))
+    one = keyed.join(kept, (F.col(doc_id) == F.col(name)) & (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_semi").dropDuplicates([doc_id, a, b])
+    return one.drop(a, b).unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

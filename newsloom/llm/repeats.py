@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, as_bytes, free_name, partitions, per_worker, slices
+from .common import Words, as_bytes, cut, free_name, partitions, per_worker, slices
 
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15
@@ -88,7 +88,7 @@ def unpack(blob: bytes, n: int, expand) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def packed_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """bucket, n, blob; docs: id, text. Documents with fewer words than a window, or without an id, have none."""
+    """bucket, n, blob; docs: id, text, base (the place of its first word). Documents with fewer words than a window, or without an id, have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -106,14 +106,14 @@ def packed_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for i, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
+                for i, text, low in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
                     words = (text or b"").split()
                     if i is None or len(words) < window:
                         continue
                     h = rolling(word_hashes(words), window)
                     hashes.append(h)
                     ids.append((i, len(h)))
-                    places.append(np.arange(len(h), dtype=np.uint32))
+                    places.append(np.arange(low, low + len(h), dtype=np.uint32))
                     held += len(text)
                     if held >= PACK_CHARS:
                         yield out()
@@ -194,25 +194,52 @@ def intervals(places: np.ndarray, window: int) -> list[tuple[int, int]]:
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))]
 
 
+def _placed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str | None]:
+    """Where rows with one doc_id have different texts, docs with a column that tells each text's first place: they lie one after another.
+
+    As a rule there are none, and docs is given as it is.
+    """
+    two = [F.xxhash64(F.lit(1), F.col(text)).alias("ta"), F.xxhash64(F.lit(2), F.col(text)).alias("tb")]
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), *two, F.coalesce(F.octet_length(text), F.lit(0)).alias("n"))
+    texts = rows.groupBy("id", "ta", "tb").agg(F.max("n").alias("n"))
+    several = cut(texts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ta", "tb", "n"))).alias("x")).where(F.size("x") > 1), "texts_of_ids")
+    if not several.limit(1).count():
+        return docs, None
+    # a text has no more words than bytes
+    ends = F.transform("x", lambda t, i: F.struct(t["ta"].alias("ta"), t["tb"].alias("tb"), F.aggregate(F.slice("x", 1, i), F.lit(0).cast("bigint"), lambda a, y: a + F.shiftright(y["n"], 1) + 1).alias("base")))
+    names = [free_name(n, docs.columns) for n in ("place_id", "place_a", "place_b", "place_base")]
+    bases = several.select("id", F.explode(ends).alias("t")).select("id", "t.*").toDF(*names)
+    on = (F.col(doc_id).cast("bigint") == F.col(names[0])) & (two[0] == F.col(names[1])) & (two[1] == F.col(names[2]))
+    return docs.join(bases, on, "left").drop(*names[:3]).withColumn(names[3], F.coalesce(names[3], F.lit(0).cast("bigint"))), names[3]
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """docs with n_words, n_removed, kept_text (kept words joined by one space) and removed (intervals of word places).
 
     Words are what lies between ASCII white space. A word goes if a window covering it has a word
     sequence that also starts in a document with a smaller doc_id. Null and empty texts have no words;
-    a null doc_id has no windows and loses nothing; rows that repeat a doc_id must repeat its text, and each
-    gets the same result; an empty table stays empty. With digest, kept_sha256 takes the place of the last two.
+    a null doc_id has no windows and loses nothing; rows that repeat a doc_id are one document: they take no words
+    from each other, and each loses those of its own text; an empty table stays empty. With digest,
+    kept_sha256 takes the place of the last two.
     """
     spark = docs.sparkSession
     p = partitions(spark)
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    docs, base = _placed(docs, doc_id, text)
+    first = F.col(base) if base else F.lit(0).cast("bigint")
+    narrow = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), first.alias("base"))
+    if base:
+        narrow = narrow.dropDuplicates(["id", "base"])
+        docs = docs.select(*[c for c in docs.columns if c != base], base)
+    whole, docs = docs, docs.drop(base) if base else docs
     marks = repeated(packed_windows(narrow, window, BUCKETS * p), p)
     # documents and the marks of their slot meet in one task, marks first
     ident, slot, size, blob, last = (free_name(n, docs.columns) for n in ("mark_id", "mark_slot", "mark_n", "mark_blob", "mark_last"))
     key = F.col(doc_id).cast("bigint")
     own = F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.col(text))), F.lit(p)).cast("int")
-    left = docs.select("*", key.alias(ident), own.alias(slot), F.lit(None).cast("bigint").alias(size), F.lit(None).cast("binary").alias(blob), F.lit(1).alias(last))
+    start = free_name("mark_base", docs.columns)
+    left = whole.select(*docs.columns, key.alias(ident), own.alias(slot), first.alias(start), F.lit(None).cast("bigint").alias(size), F.lit(None).cast("binary").alias(blob), F.lit(1).alias(last))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
-    right = marks.select(*blank, F.lit(None).cast("bigint").alias(ident), F.col("slot").alias(slot), F.col("n").alias(size), F.col("blob").alias(blob), F.lit(0).alias(last))
+    right = marks.select(*blank, F.lit(None).cast("bigint").alias(ident), F.col("slot").alias(slot), F.lit(0).cast("bigint").alias(start), F.col("n").alias(size), F.col("blob").alias(blob), F.lit(0).alias(last))
     joined = left.union(right).repartitionById(p, F.col(slot)).sortWithinPartitions(last)
     fields = [*FIELDS[:2], T.StructField("kept_sha256", T.StringType())] if digest else FIELDS
     fields = [T.StructField(free_name(f.name, docs.columns), f.dataType) for f in fields]
@@ -224,9 +251,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         index: dict[int, tuple[int, int]] | None = None
         places = np.zeros(0, np.uint32)
         for batch in batches:
-            kinds = batch.column(width + 4).to_numpy()
+            kinds = batch.column(width + 5).to_numpy()
             first = int(np.searchsorted(kinds, 1))
-            for n, raw in zip(batch.column(width + 2).slice(0, first).to_pylist(), batch.column(width + 3).slice(0, first).to_pylist(), strict=True):
+            for n, raw in zip(batch.column(width + 3).slice(0, first).to_pylist(), batch.column(width + 4).slice(0, first).to_pylist(), strict=True):
                 raw = expand(raw)
                 marked.append((unplanes(raw, "<i8", n), unplanes(raw[8 * n :], "<u4", n)))
             if first == len(kinds):
@@ -242,11 +269,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                     marked = []
             for part in slices(batch.slice(first), text):
                 total, gone, kept, cut = [], [], [], []
-                for raw, i in zip(as_bytes(part.column(at)), part.column(width).to_pylist(), strict=True):
+                for raw, i, low in zip(as_bytes(part.column(at)), part.column(width).to_pylist(), part.column(width + 2).to_pylist(), strict=True):
                     words = (raw or b"").split()
                     total.append(len(words))
                     a, z = index.get(i, (0, 0))
-                    spans = [(a, min(z, len(words))) for a, z in intervals(places[a:z], window) if a < len(words)]
+                    own = places[a:z].astype(np.int64) - low
+                    spans = intervals(own[(own >= 0) & (own + window <= len(words))], window)
                     removed = 0
                     for a, z in reversed(spans):
                         del words[a:z]

@@ -39,7 +39,8 @@ _OUTER = re.compile(r"^[^\w@$!|+(]+|[^\w@$!|+]+$|[!]+$")
 _ODD = re.compile(r"(\w)\1\1|[\W\d_]")
 _TWICE = re.compile(r"(\w)\1")
 _LETTER = re.compile(r"[^\W\d_]")
-HIGHEST = 0x250
+#: Words of letters from here up are not in the letter model: ideographs and syllables are no letters that others could imitate.
+HIGHEST = 0x2E80
 
 
 def letter_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -72,6 +73,14 @@ def letter_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _spelt(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
+
+
 class Channel:
     """Restores disguised tokens; counts: trigram code -> count."""
 
@@ -88,7 +97,8 @@ class Channel:
 
     def restore(self, token: str, gaps: bool = False) -> list[str]:
         """The likeliest words behind a token, lower-cased; with gaps, the token's characters may belong to several words."""
-        states: dict[tuple[str, str], tuple[float, str]] = {("", BEGIN): (0.0, "")}
+        # a state's text is a chain of letters back to its beginning, so that states share what they have in common
+        states: dict[tuple[str, str], tuple[float, tuple | None]] = {("", BEGIN): (0.0, None)}
         before = ""
         for c in token.lower():
             arcs: list[tuple[str, float]] = []
@@ -99,9 +109,9 @@ class Channel:
             else:
                 arcs += [(x, IMITATED) for x in LEET.get(c, "")]
                 arcs.append(("", NOISE_DROPPED if c in NOISE else REPEAT_DROPPED if c == before else DROPPED))
-            now: dict[tuple[str, str], tuple[float, str]] = {}
+            now: dict[tuple[str, str], tuple[float, tuple | None]] = {}
 
-            def offer(key: tuple[str, str], score: float, text: str, now=now) -> None:
+            def offer(key: tuple[str, str], score: float, text: tuple | None, now=now) -> None:
                 if key not in now or score > now[key][0]:
                     now[key] = (score, text)
 
@@ -110,12 +120,13 @@ class Channel:
                     if not letter:
                         offer((a, b), score + cost, text)
                         continue
-                    offer((b, letter), score + cost + (self.log(a, b, letter) if a else self.start(letter)), text + letter)
+                    offer((b, letter), score + cost + (self.log(a, b, letter) if a else self.start(letter)), (text, letter))
                     if gaps and a:
-                        offer((BEGIN, letter), score + cost + GAP + self.log(a, b, END) + self.start(letter), text + " " + letter)
+                        offer((BEGIN, letter), score + cost + GAP + self.log(a, b, END) + self.start(letter), ((text, " "), letter))
             states, before = now, c
-        best = max(states.items(), key=lambda s: (s[1][0] + (self.log(s[0][0], s[0][1], END) if s[0][0] else -50.0), s[1][1]))
-        return best[1][1].split()
+        ends = [(score + (self.log(a, b, END) if a else -50.0), text) for (a, b), (score, text) in states.items()]
+        best = max(e for e, _ in ends)
+        return max(_spelt(text) for e, text in ends if e == best).split()
 
     def start(self, letter: str) -> float:
         """A word's first letter, from what follows a beginning."""

@@ -142,7 +142,10 @@ def _linked(members: DataFrame, threshold: float) -> DataFrame:
             lists = t.column("vector").combine_chunks()
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             if (sizes != sizes[0]).any():
-                return None  # unequal dimensions share no key but by chance, and are never linked
+                # unequal dimensions share a key by chance only; each is compared among itself
+                parts = [done(t.filter(pa.array(sizes == d)).to_batches()) for d in np.unique(sizes)]
+                parts = [x for x in parts if x is not None]
+                return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else None
             x = unit(lists.flatten().to_numpy(), int(sizes[0]))
             keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             get = lambda c: t.column(c).to_numpy()

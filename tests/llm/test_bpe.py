@@ -42,6 +42,28 @@ def test_cuts_are_certain():
     assert e._word("th" + pair + "er") == [x.id for x in e.last.tokenize("th" + pair + "er")]
 
 
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.vocabulary())
+
+
+def test_decode_odd_ids(spark):
+    """Null ids and ids beyond the vocabulary are left out, as the library does; a null array stays null."""
+    t = library()
+    rows = [([5, None, 7],), ([10**6, 9],), ([],), (None,)]
+    got = [r.decoded for r in bpe.decode(spark.createDataFrame(rows, "ids array<int>")).collect()]
+    assert got == [t.decode([5, 7], skip_special_tokens=False), t.decode([9], skip_special_tokens=False), "", None]
+
+
+def test_long_text(spark):
+    """A text of over a megabyte, encoded whole."""
+    text = " ".join(f"Word{i % 5003} {i}" for i in range(120_000))
+    r = bpe.encode(spark.createDataFrame([(text,)], "text string"), ids=False).collect()[0]
+    ids = library().encode(text, add_special_tokens=False).ids
+    assert len(text) > 1 << 20 and (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty(spark, n):
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string").limit(n)

@@ -64,7 +64,7 @@ def test_as_edit_distance(spark):
         texts, wanted = dict(docs), dict(items)
         for r in got:
             assert least_distance(c.normal(wanted[r.item_id]), c.normal(texts[r.doc_id])[r.start : r.stop]) == r.distance
-        kept = c.clean(frame, bench, block_chars=most)
+        kept = c.clean(frame, bench, block_chars=most, shortest=1)
         assert kept.columns == frame.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _ in docs} - {i for i, _ in want})
 
@@ -84,3 +84,19 @@ def test_everything_in_the_data(spark, sf):
     exact = {(r.doc_id, b.item_id) for r in docs.collect() for b in bench.collect() if c.normal(b.text) in c.normal(r.text)}
     got = {(r.doc_id, r.item_id) for r in c.query(spark, sf).collect()}
     assert exact and exact <= got
+
+
+def test_short_items_empty_no_corpus(spark):
+    """An item of a letter or a word is found by matches, but is no reason for clean to drop a document."""
+    docs = spark.createDataFrame([(1, "a banana"), (2, "long enough to be a real passage, yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a"), (2, "Long  enough to be a real passage")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in c.matches(docs, bench).collect()) == [(1, 1), (2, 1), (2, 2)]
+    assert [r.doc_id for r in c.clean(docs, bench).collect()] == [1]
+
+
+def test_long_text(spark):
+    """A passage at the end of a text of a megabyte."""
+    item = "the quick brown fox jumps over the lazy dog and runs along the river"
+    text = "word " * 220_000 + item.replace("lazy", "laxy")
+    got = c.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.item_id, r.distance) for r in got] == [(5, 1)]

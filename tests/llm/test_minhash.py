@@ -62,6 +62,13 @@ def test_odd_rows(spark):
     assert minhash.classes(docs.limit(0)).count() == 0 and minhash.dedup(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """No text is lost where rows share a doc_id, and what stays is not a copy."""
+    a, b = " ".join(f"q{i}" for i in range(60)), " ".join(f"r{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a, 1), (2, a, 2), (2, b, 3), (2, b, 4), (3, None, 5), (3, None, 6)], "doc_id long, text string, text_a int")
+    assert sorted((r.doc_id, r.text or "") for r in minhash.dedup(docs).collect()) == [(1, a), (2, b), (3, "")]
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(200)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(45)] + [(None, 1), (5, None), (7, 7)]

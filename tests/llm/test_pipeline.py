@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+from pathlib import Path
 
 import corpus_pipeline
 from newsloom.llm import bpe, contamination, secrets
@@ -42,6 +43,7 @@ def test_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, d)
         assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    assert {r.lang for r in docs.collect()} == {"en"}  # found, where rows have no label
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
 
     kept = [(r[0], r[1]) for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
@@ -49,6 +51,7 @@ def test_stages(spark, tmp_path):
     marks = [contamination.normal(t) for _, t in items]
     kept = [(i, t) for i, t in kept if not any(m in contamination.normal(t) for m in marks)]
     assert set(out) == {i for i, _ in kept}
+    assert {"source", "n_chars", "extra"} <= set(next(iter(out.values())).asDict())
     assert {300, 301, 403} <= set(out) and not {200, 201, 400, 401, 402} & set(out)
     e = bpe.Encoder(bpe.vocabulary())
     for i, t in kept:
@@ -60,6 +63,15 @@ def test_stages(spark, tmp_path):
     assert secrets.KINDS[0] == "assign"
 
 
+def test_nothing_is_left_behind(spark, tmp_path):
+    """The shared folder holds only the last stage's table after a run."""
+    d = written(spark, tmp_path, *made())
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    corpus_pipeline.run(spark, d)
+    assert [x.name.split("-")[0] for x in set(folder.glob("*")) - before] == ["encode"]
+
+
 def test_empty(spark, tmp_path):
     d = written(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, d).count() == 0

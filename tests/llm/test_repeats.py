@@ -53,6 +53,16 @@ def test_odd_rows(spark):
     assert repeats.dedup(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows that share a doc_id lose the words of their own text only, and none for each other."""
+    text, other = " ".join(f"q{i}" for i in range(60)), " ".join(f"r{i}" for i in range(200))
+    rows = [(1, text), (2, text), (2, other), (2, "x " + text + " " + other), (3, other), (3, "short"), (3, None), (3, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in repeats.dedup(docs).collect())
+    tail = "x " + other
+    assert got == sorted([(1, 60, 0, text), (2, 60, 60, ""), (2, 200, 0, other), (2, 261, 60, tail), (3, 200, 200, ""), (3, 200, 200, ""), (3, 1, 0, "short"), (3, 0, 0, "")])
+
+
 def test_rolling_and_packing():
     h = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
     for window in (1, 2, 3, 5, 8, 49, 50, 300):

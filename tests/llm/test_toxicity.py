@@ -1,6 +1,7 @@
 """Toxicity: restored words, held-out accuracy."""
 
 import random
+import time
 import zlib
 
 from newsloom.llm import toxicity
@@ -72,3 +73,81 @@ def test_doubled_letters(spark):
     for token, want in ((b"stuupid", "stupid"), (b"iidiot", "idiot"), (b"mooron", "moron"), (b"IDIOTT", "idiot"), (b"trees", "trees")):
         assert want in scorer.words(token), (token, scorer.words(token))
     assert all(scorer.token(t) > 0 for t in (b"iidiot", b"mooron"))
+
+
+def brute(channel, token, gaps):
+    """The best path of all through the lattice: every choice of arcs, scored letter by letter."""
+    paths = [("", 0.0, "", toxicity.BEGIN, "")]  # text, score, two letters before, character before
+    for ch in token.lower():
+        more = []
+        for text, score, a, b, before in paths:
+            if ch.isalpha():
+                arcs = [(ch, toxicity.SAME)] + ([("", toxicity.REPEAT_DROPPED)] if ch == before else [])
+            else:
+                arcs = [(x, toxicity.IMITATED) for x in toxicity.LEET.get(ch, "")]
+                arcs.append(("", toxicity.NOISE_DROPPED if ch in toxicity.NOISE else toxicity.REPEAT_DROPPED if ch == before else toxicity.DROPPED))
+            for letter, cost in arcs:
+                if not letter:
+                    more.append((text, score + cost, a, b, ch))
+                    continue
+                more.append((text + letter, score + cost + (channel.log(a, b, letter) if a else channel.start(letter)), b, letter, ch))
+                if gaps and a:
+                    more.append((text + " " + letter, score + cost + toxicity.GAP + channel.log(a, b, toxicity.END) + channel.start(letter), toxicity.BEGIN, letter, ch))
+        paths = more
+    return max((score + (channel.log(a, b, toxicity.END) if a else -50.0), text) for text, score, a, b, _ in paths)
+
+
+def test_restore_is_the_best_path(spark):
+    """Viterbi against every path through the lattice."""
+    docs = spark.createDataFrame([(i, " ".join([*CLEAN, *BAD])) for i in range(3)], "doc_id long, text string")
+    channel = toxicity.Channel({r["gram"]: r["n"] for r in toxicity.letter_counts(docs).collect()})
+    r = random.Random(3)
+    tokens = ["1d10t", "m0r0n", "$tu.p1d", "iidd", "r!v3r", "w@lk", "8", "...", "a", "é1", "(h1ll"]
+    tokens += ["".join(r.choices("aeiorstdw013$!@.-", k=r.randrange(1, 7))) for _ in range(150)]
+    for token in tokens:
+        for gaps in (False, True):
+            got = channel.restore(token, gaps)
+            best, text = brute(channel, token, gaps)
+            assert got == text.split() or _score(channel, token, gaps, got) >= best - 1e-9, (token, got, text)
+
+
+def _score(channel, token, gaps, words):
+    """The best score of the paths that spell these words."""
+    want = " ".join(words)
+    paths, out = {("", "", toxicity.BEGIN): 0.0}, -1e9
+    before = ""
+    for ch in token.lower():
+        arcs = [(ch, toxicity.SAME)] + ([("", toxicity.REPEAT_DROPPED)] if ch == before else []) if ch.isalpha() else [(x, toxicity.IMITATED) for x in toxicity.LEET.get(ch, "")] + [("", toxicity.NOISE_DROPPED if ch in toxicity.NOISE else toxicity.REPEAT_DROPPED if ch == before else toxicity.DROPPED)]
+        now = {}
+        for (text, a, b), score in paths.items():
+            for letter, cost in arcs:
+                steps = [((text, a, b), score + cost)] if not letter else [((text + letter, b, letter), score + cost + (channel.log(a, b, letter) if a else channel.start(letter)))]
+                if letter and gaps and a:
+                    steps.append(((text + " " + letter, toxicity.BEGIN, letter), score + cost + toxicity.GAP + channel.log(a, b, toxicity.END) + channel.start(letter)))
+                for key, value in steps:
+                    if want.startswith(key[0]) and value > now.get(key, -1e9):
+                        now[key] = value
+        paths, before = now, ch
+    for (text, a, b), score in paths.items():
+        if text == want:
+            out = max(out, score + (channel.log(a, b, toxicity.END) if a else -50.0))
+    return out
+
+
+def test_very_long_token(spark):
+    """A token of half a million characters takes time in proportion."""
+    docs = spark.createDataFrame([(1, " ".join(CLEAN))], "doc_id long, text string")
+    channel = toxicity.Channel({r["gram"]: r["n"] for r in toxicity.letter_counts(docs).collect()})
+    took = []
+    for n in (60_000, 240_000):
+        start = time.process_time()
+        channel.restore("w4lk" * (n // 4))
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_other_alphabets(spark):
+    """Disguises are restored in any alphabet that documents are written in."""
+    docs = spark.createDataFrame([(i, "дурак идиот погода сегодня хорошая и мы идём гулять") for i in range(4)], "doc_id long, text string")
+    scorer = toxicity.Scorer({r["gram"]: r["n"] for r in toxicity.letter_counts(docs).collect()}, None, None)
+    assert "дурак" in scorer.words("д.у.р.а.к".encode()) and "идиот" in scorer.words("идиооот".encode())
