@@ -13,28 +13,35 @@ from newsloom.llm import bpe, common, contamination, language, minhash, secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; texts that are null or have no letter go."""
-    return language.keep_identified(docs, language.train(docs))
+    """Documents in which a language is found, and lang says which; texts that are null, empty or without a letter go.
+
+    Labels in lang teach the model; what it finds takes their place, for labelled and unlabelled documents alike. Repeated
+    rows each stay or go, extra columns of any name stay, an empty table stays empty.
+    """
+    return language.keep_identified(docs, language.train(docs), lang="lang")
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies (five words, similarity of 0.8)."""
+    """The smallest document of each group of near copies (five words, similarity of 0.8).
+
+    Of rows with one doc_id and text, one stays; rows with a null doc_id and texts without words all stay.
+    """
     return minhash.dedup(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null texts stay, repeated rows each stay or go."""
     return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark; n_chars stays that of the raw document."""
+    """All documents, with their secrets replaced by a mark; null texts stay null, n_chars stays that of the raw document."""
     return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids with their number and hashes."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    """Each document's columns but its text, and its token ids with their number and hashes; null texts have no ids."""
+    return bpe.encode(docs).drop("text")
 
 
 STAGES = [
@@ -50,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        with common.scratch() as stay:
+            docs = common.cut(stage(spark, before, sf_dir), name)
+            stay.append(docs)
+        # what a stage and its operators wrote is read no more once the next stage's result stands
+        common.release(before)
+        before = docs
     return docs
