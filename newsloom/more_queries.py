@@ -50,10 +50,7 @@ def news_signals(spark, sf):
   SELECT source_id, runs, good, CASE WHEN good = 0 THEN 'never' WHEN NOT last AND age > 72 THEN 'bad' WHEN age > 72 THEN 'stale' WHEN good < runs THEN 'partial' ELSE 'ok' END AS status FROM a""", True)
 def source_status(spark, sf):
     log = T_(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.col("ts").alias("ran_at"), (F.col("event_type") != "error").alias("ok"))
-    runs = log.groupBy("source_id").agg(F.count("*").alias("runs"), F.count_if("ok").alias("good"), F.max(F.when(F.col("ok"), F.col("ran_at"))).alias("last_ok"), F.max_by("ok", "ran_at").alias("last"))
-    age = (F.lit(1706745600) - P.seconds("last_ok")) / 3600.0
-    status = F.when(F.col("good") == 0, "never").when(~F.col("last") & (age > 72), "bad").when(age > 72, "stale").when(F.col("good") < F.col("runs"), "partial").otherwise("ok")
-    return runs.select("source_id", "runs", "good", status.alias("status"))
+    return L.source_status(log, "2024-02-01", 72)
 
 
 @query("D26_effective_status", "SELECT doc_id, coalesce(decision, 'candidate') AS effective FROM documents LEFT JOIN (SELECT doc_id, CASE quality WHEN 1 THEN 'accepted' ELSE 'rejected' END AS decision FROM labels) USING (doc_id)")
@@ -69,10 +66,20 @@ def reviewer_pairs(spark, sf):
     return E.reviewer_pairs(r, "c", "who", "d")
 
 
-@query("D19_quotes", "SELECT doc_id, substring(text, 11, 15) = substring(text, 11, 15) AND len(text) >= 25 AS ok FROM documents")
+#: A quote for each document: some words of it, or of what comes one place later, with offsets that vary and a hash that is wrong for some.
+_QUOTE = """, q AS (SELECT doc_id, text, doc_id % 97 AS a, doc_id % 97 + 5 + doc_id % 40 AS z, doc_id % 3 AS kind FROM documents)
+  SELECT doc_id, coalesce(z <= len(text) AND (kind <> 1 OR substring(text, a + 1, z - a) = substring(text, a + 2, z - a)) AND kind <> 2, false) AS ok FROM q"""
+
+
+@query("D19_quotes", _QUOTE, True)
 def quotes(spark, sf):
-    t = F.col("text")
-    return T_(spark, sf, "documents").select("doc_id", E.quoted(t, F.when(F.length(t) >= 25, F.substring(t, 11, 15)), F.lit(10), F.lit(25)).alias("ok"))
+    t, i = F.col("text"), F.col("doc_id")
+    start = (i % 97).cast("int")
+    stop = (i % 97 + 5 + i % 40).cast("int")
+    # the quote of every third document is cut a place too late, the hash of every third is another's
+    quote = F.when(F.length(t) >= stop, F.substring(t, start + F.when(i % 3 == 1, 2).otherwise(1), stop - start))
+    sha = F.when(i % 3 == 2, F.sha2(F.lit("another"), 256)).otherwise(F.sha2(quote, 256))
+    return T_(spark, sf, "documents").select("doc_id", E.quoted(t, quote, start, stop, sha).alias("ok"))
 
 
 @query("D13_first_failure", "SELECT o_orderkey, CASE WHEN NOT o_totalprice > 1000 THEN 'price' WHEN NOT o_orderstatus <> 'P' THEN 'status' WHEN NOT o_custkey % 2 = 0 THEN 'customer' END AS failure FROM orders")
@@ -111,15 +118,14 @@ def split_faults(spark, sf):
     return E.split_faults(name(e.where("event_type = 'error'")), name(e.where("event_type = 'error' and value > 50")), e.select(F.col("user_id").alias("event_id")).distinct())
 
 
-@query("A30_fingerprint")
+@query("A30_fingerprint", "SELECT count(*) AS n, sum(('0x' || substr(sha256(length(o_orderkey::VARCHAR) || ':' || o_orderkey || length(o_custkey::VARCHAR) || ':' || o_custkey || length(o_orderstatus) || ':' || o_orderstatus), 1, 15))::UBIGINT::HUGEINT)::VARCHAR AS digest FROM orders")
 def fingerprint(spark, sf):
     return M.fingerprint(T_(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 @query("A17_distribution", "SELECT lang, source, count(*) AS n, GROUPING(lang)::INT AS all_langs, GROUPING(source)::INT AS all_sources FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def distribution(spark, sf):
-    T_(spark, sf, "documents").select("lang", "source").createOrReplaceTempView("newsloom_documents")
-    return spark.sql("SELECT lang, source, count(*) AS n, cast(grouping(lang) AS int) AS all_langs, cast(grouping(source) AS int) AS all_sources FROM newsloom_documents GROUP BY GROUPING SETS ((lang), (source), ())")
+    return M.distribution(T_(spark, sf, "documents"), ["lang", "source"])
 
 
 @query("U1_union", "SELECT user_id AS id FROM events WHERE event_type = 'error' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
@@ -145,55 +151,11 @@ def columnar_arrays(spark, sf):
     return packed.select("event_type", F.posexplode("ids").alias("p", "item")).select("event_type", "item", (F.col("p") + 1).alias("i"))
 
 
-@query("SC9_links")
-def links(spark, sf):
-    found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]+)"'), F.lit(1))
-    return T_(spark, sf, "pages").select("page_id", F.slice(F.array_distinct(found), 1, 40).alias("links")).select("page_id", F.explode("links").alias("link"))
-
-
 @query("F24_publisher_host", r"SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?:#]+)', 1)) AS host FROM pages")
 def host(spark, sf):
     return T_(spark, sf, "pages").select("page_id", X.host(F.col("url")).alias("host"))
 
 
-@query("F35_failure_kind", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'click' THEN 'rate_limit' ELSE 'other' END AS kind FROM events")
-def failure_kind(spark, sf):
-    message = F.when(F.col("event_type") == "error", "Request timed out").when(F.col("event_type") == "click", "HTTP 429").otherwise("??")
-    return T_(spark, sf, "events").select("event_id", X.failure_kind(message).alias("kind"))
-
-
-@query("J11_candidate_pairs", """, s AS (SELECT user_id, min(ts) AS first_at, event_type FROM events GROUP BY user_id, event_type)
-  SELECT a.user_id AS a, b.user_id AS b FROM s a JOIN s b ON a.event_type = b.event_type AND a.user_id < b.user_id AND abs(epoch_us(a.first_at) - epoch_us(b.first_at)) <= 1800000000 WHERE b.user_id - a.user_id <> 1 GROUP BY ALL""", True)
-def candidate_pairs(spark, sf):
-    s = T_(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_at"))
-    pairs = P.near_pairs(s, "event_type", "user_id", "first_at", 1800).select("a", "b").distinct()
-    judged = pairs.where("b - a = 1")
-    return pairs.join(judged, ["a", "b"], "left_anti")
-
-
-@query("D5_match_score")
-def match_score(spark, sf):
-    """All pairs of parts that no guard on company or time bars and whose titles are equal or share two grams; the rest would score 0 or is no candidate."""
-    p = T_(spark, sf, "part").where("p_name is not null").select("p_partkey", "p_name", "p_brand", F.timestamp_seconds(F.col("p_partkey") * 60).alias("ts"))
-    titles = p.groupBy("p_name").agg(F.min("p_partkey").alias("title"))
-    near = D.shared_grams(titles, "title", X.trigrams(F.col("p_name")), None)
-    ordered = near.select("id", "other").union(near.select("other", "id")).union(titles.select("title", "title"))  # the ratio depends on the order
-    named = lambda key, name: titles.select(F.col("title").alias(key), F.col("p_name").alias(name))
-    ratios = ordered.join(named("id", "a_title"), "id").join(named("other", "b_title"), "other").select("a_title", "b_title", X.ratio()("a_title", "b_title").alias("ratio"))
-    pairs = P.near_pairs(p, "p_brand", "p_partkey", "ts", 72 * 3600).select(F.col("b").alias("id"), F.col("a").alias("other"))
-    side = lambda n, key: p.select(F.col("p_partkey").alias(key), F.col("p_name").alias(f"{n}_title"), (F.col("p_partkey") * 60).alias(f"{n}_ts"), F.array("p_brand").alias(f"{n}_companies"), F.lit("ai").alias(f"{n}_channel"), X.numbers(F.col("p_name")).alias(f"{n}_numbers"))
-    asked = pairs.join(side("a", "id"), "id").join(side("b", "other"), "other").join(ratios, ["a_title", "b_title"])
-    return D.match_score(asked, lambda a, b: F.col("ratio")).select("id", "other", "score")
-
-
-@query("D6_story_clusters")
-def story_clusters(spark, sf):
-    """Every part and its cluster: the smallest part that links of at least 0.72 lead to."""
-    links = match_score(spark, sf).where("score >= 0.72").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    found = D.components(links).select(F.col("node").alias("p_partkey"), "component")
-    return T_(spark, sf, "part").select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("component", "p_partkey").alias("story"))
-
-
-@query("A21_labels_missing", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("J5_labels_missing", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def labels_missing(spark, sf):
     return S.missing_references(T_(spark, sf, "labels").select("doc_id"), "doc_id", T_(spark, sf, "documents"), "doc_id")

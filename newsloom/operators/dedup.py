@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,30 +34,36 @@ def donors(df: DataFrame, keys: list[str], ident: str, ts: str, judged: Column,
     return df.withColumn("_t", F.floor(seconds(ts)).cast("bigint")).withColumn("donor", d).where(~judged & F.col("donor").isNotNull()).drop("_t")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node and the smallest node it is connected with; edges: a, b. Smallest labels spread and pointers halve until nothing changes.
+def kept(df: DataFrame) -> DataFrame:
+    """A frame that later steps read again: written to spark.checkpoint.dir where the session names one, so that no lost executor sends the work back; else cached."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.cache()
+    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    Each round is checkpointed if the session has a checkpoint folder (spark.checkpoint.dir).
-    """
-    spark = edges.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.cache())
-    link = keep(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct())
-    now = keep(link.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
-    for _ in range(rounds):
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and the smallest node it is connected with; edges: a, b. Smallest labels spread and pointers halve until nothing changes."""
+    link = kept(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct())
+    now = kept(link.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
+    while True:
         top = now.join(now.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "up", "top")
         near = link.join(top.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("best"))
         seen = top.join(near, "node")
         told = seen.select("node", F.least("up", "top", "best").alias("up"), F.col("up").alias("old")).union(seen.select(F.col("up"), F.col("best"), F.lit(None).cast(edges.schema["a"].dataType)))
-        now = keep(told.groupBy("node").agg(F.min("up").alias("up"), F.max("old").alias("old")))
+        now = kept(told.groupBy("node").agg(F.min("up").alias("up"), F.max("old").alias("old")))
         if not now.where("up <> old").limit(1).count():
-            break
-    return now.select("node", F.col("up").alias("component"))
+            return now.select("node", F.col("up").alias("component"))
 
 
 def fold_groups(items: DataFrame, order: list[Column], ident: str, group: str) -> DataFrame:
-    """The best row of each group, with how many others it stands for."""
-    w = Window.partitionBy(group)
-    return items.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("others", F.count("*").over(w) - 1).where("rank = 1").drop("rank")
+    """The best row of each group, with how many others it stands for; the count aggregates before the shuffle and the rank is cut early."""
+    best = items.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("rank = 1").drop("rank")
+    sizes = items.groupBy(F.col(group).alias("_group")).agg((F.count("*") - 1).alias("others"))
+    return best.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def leaks(df: DataFrame, group: str, split: str) -> DataFrame:
@@ -88,14 +96,19 @@ def greedy_split(sizes: list[tuple[str, int]], shares: dict[str, float]) -> dict
 def follow(pointers: DataFrame, ident: str, target: str) -> DataFrame:
     """Each id's last target by pointer doubling, and whether it ends in a cycle or a missing id.
 
-    pointers: id, target (null: none). After k rounds every pointer spans 2**k steps.
+    pointers: id, target (null: none). After k rounds every pointer spans 2**k steps, so chains of any length end; when a round
+    settles no more ids, those left run in cycles.
     """
     rows = pointers.select(F.col(ident).alias("id"), F.col(target).alias("to"))
     ids = rows.select(F.col("id").alias("to"), F.lit(True).alias("there"))
-    now = rows.join(ids, "to", "left").select("id", F.when(F.col("to").isNull(), F.col("id")).otherwise(F.col("to")).alias("at"), (F.col("to").isNotNull() & F.col("there").isNull()).alias("missing"), F.col("to").isNull().alias("ended"))
-    for _ in range(6):  # spans chains of 64
+    now = kept(rows.join(ids, "to", "left").select("id", F.when(F.col("to").isNull(), F.col("id")).otherwise(F.col("to")).alias("at"), (F.col("to").isNotNull() & F.col("there").isNull()).alias("missing"), F.col("to").isNull().alias("ended")))
+    left = now.where("not missing and not ended").count()
+    while left:
         nxt = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("ended").alias("e"), F.col("missing").alias("m"))
-        now = now.join(nxt, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("missing") | F.coalesce("m", F.lit(False))).alias("missing"), (F.col("ended") | F.coalesce("e", F.lit(False))).alias("ended"))
+        now = kept(now.join(nxt, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("missing") | F.coalesce("m", F.lit(False))).alias("missing"), (F.col("ended") | F.coalesce("e", F.lit(False))).alias("ended")))
+        before, left = left, now.where("not missing and not ended").count()
+        if left == before:
+            break
     return now.select("id", F.when(F.col("ended") | F.col("missing"), F.col("at")).alias("end"), F.when(F.col("missing"), "missing").when(~F.col("ended"), "cycle").otherwise("ok").alias("state"))
 
 

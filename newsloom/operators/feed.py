@@ -62,12 +62,16 @@ def top_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int, ra
 def floor_then_fill(df: DataFrame, group: str, order: Sequence[Column], floor: int, total: int) -> DataFrame:
     """A floor for each group first, then the best of the rest up to a total.
 
-    The rest is cut to the total by a bounded sort before the union, so no task sorts all rows.
+    The floors are a window that Spark cuts early. The rest comes from a bounded sort of as many rows as the total and all floors
+    hold together, so no task sorts all rows; order must tell all rows apart.
     """
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    reserved = ranked.where(F.col("rank") <= floor).withColumn("reserved", F.lit(1))
-    rest = ranked.where(F.col("rank") > floor).orderBy(*order).limit(total).withColumn("reserved", F.lit(0))
-    return reserved.union(rest).orderBy(F.col("reserved").desc(), *order).limit(total)
+    w = Window.partitionBy(group).orderBy(*order)
+    reserved = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= floor)
+    groups = df.select(group).distinct().count()
+    best = df.orderBy(*order).limit(total + floor * groups)
+    rest = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > floor).orderBy(*order).limit(total)
+    both = reserved.withColumn("reserved", F.lit(1)).union(rest.withColumn("reserved", F.lit(0)))
+    return both.orderBy(F.col("reserved").desc(), *order).limit(total)
 
 
 def hot(stories: DataFrame, limit: int) -> DataFrame:
@@ -76,8 +80,8 @@ def hot(stories: DataFrame, limit: int) -> DataFrame:
 
 
 def item_heat(score: Column, event_type: Column, official: Column, age_hours: Column) -> Column:
-    """A hundredth of the score (or a default by type), the official gain, and exponential decay with age."""
-    base = F.coalesce(score / 100.0, F.when(event_type.isin("insider", "other"), 0.35).otherwise(0.5))
+    """A hundredth of the score (or a default by type where there is none or it was refused), the official gain, and exponential decay with age."""
+    base = F.coalesce(F.when(score >= 0, score / 100.0), F.when(event_type.isin("insider", "other"), 0.35).otherwise(0.5))
     return base * F.when(official, OFFICIAL_GAIN).otherwise(1.0) * decay(age_hours)
 
 

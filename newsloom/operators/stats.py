@@ -120,10 +120,16 @@ def gate(metrics: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """rows and an order-free digest: exclusive-or of the leading and trailing eight bytes of each row's SHA-256."""
+    """rows and an order-free digest: the sum of the leading 60 bits of each row's SHA-256, in which repeated rows count; values are length-prefixed, null is '-'."""
     text = F.concat_ws("", *[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns])
     head = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
-    return df.select(head.alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("digest"))
+    return df.select(head.alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")).cast("string"), F.lit("0")).alias("digest"))
+
+
+def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts by each column alone and overall, in one pass with grouping sets; all_<column>s tells rows over all of its values."""
+    flags = [F.grouping(c).cast("int").alias(f"all_{c}s") for c in columns]
+    return df.groupingSets([*[[c] for c in columns], []], *columns).agg(F.count("*").alias("n"), *flags)
 
 
 def shadow(df: DataFrame, outcome: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import kept
+
 
 def changes(log: DataFrame, cursor: int, high_water: int, kinds: list[str], limit: int) -> DataFrame:
     """The next changes after a cursor up to the high water, of some kinds."""
@@ -31,23 +33,16 @@ def pages(snap: DataFrame, size: int, payload: Column) -> DataFrame:
 def place(df: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     """df with each row's place (from 1) in the order of a unique key.
 
-    The order of a bucket is that of the key's bounds, found by approximate quantiles of its bytes; counts of buckets give
-    where each begins, and a window ranks rows within a bucket only.
+    Rows are dealt into ranges of the key; counts of ranges give where each begins, and a window ranks rows within a
+    range only.
     """
-    if not dict(df.dtypes)[key] == "string":
-        code = F.col(key).cast("double")
-    else:
-        padded = F.substring(F.rpad(F.hex(F.encode(F.col(key), "UTF-8")), 12, "0"), 1, 12)
-        code = F.conv(padded, 16, 10).cast("double")
-    coded = df.withColumn("_code", code)
     parts = max(1, min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2))
-    cuts = sorted(set(coded.approxQuantile("_code", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    number = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("_code"))) if cuts else F.lit(0)
-    coded = coded.withColumn("_bucket", number)
-    counts = coded.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    # the whole key, so that keys with a common beginning spread as well; written once, as ranges may fall differently when worked out again
+    ranged = kept(df.repartitionByRange(parts, key).withColumn("_bucket", F.spark_partition_id()))
+    counts = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).drop("_n")  # one row for each bucket
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    return coded.join(F.broadcast(before), "_bucket").withColumn("place", F.col("_before") + rank).drop("_code", "_bucket", "_before")
+    return ranged.join(F.broadcast(before), "_bucket").withColumn("place", F.col("_before") + rank).drop("_bucket", "_before")
 
 
 def apply_changes(state: DataFrame, log: DataFrame, key: str) -> DataFrame:

@@ -39,6 +39,11 @@ def at(column: str) -> F.Column:
     return F.date_format(column, TS)
 
 
+def mark(events: DataFrame, tenths: int) -> int:
+    """A high water that grows with the table: some tenths of its greatest event_id."""
+    return (events.agg(F.max("event_id")).first()[0] or 0) * tenths // 10
+
+
 def T_(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return R.table(spark, sf, name)
 
@@ -141,11 +146,11 @@ def story_stats(spark, sf):
     return out.select("story_id", F.round("heat", 4).alias("heat"), "source_count", "item_count", at("first_at").alias("first_at"), at("last_at").alias("last_at"), "item_id")
 
 
-@query("A6_item_heat", """SELECT item_id, round(coalesce(score / 100.0, CASE WHEN event_type IN ('insider', 'other') THEN 0.35 ELSE 0.5 END) * CASE WHEN official THEN 1.25 ELSE 1.0 END
-  * pow(0.5, greatest(date_diff('minute', published_at, TIMESTAMP '2024-02-01 00:00:00') / 60.0, 0.0) / 18.0), 6) AS heat FROM items WHERE coalesce(score, 0) >= 0""", True)
+@query("A6_item_heat", """SELECT item_id, round(coalesce(CASE WHEN score >= 0 THEN score / 100.0 END, CASE WHEN event_type IN ('insider', 'other') THEN 0.35 ELSE 0.5 END) * CASE WHEN official THEN 1.25 ELSE 1.0 END
+  * pow(0.5, greatest(date_diff('minute', published_at, TIMESTAMP '2024-02-01 00:00:00') / 60.0, 0.0) / 18.0), 6) AS heat FROM items""", True)
 def heat(spark, sf):
     age = (F.lit(1706745600) - P.seconds("published_at")) / 3600.0
-    items = R.items(spark, sf).where("coalesce(score, 0) >= 0")
+    items = R.items(spark, sf)
     return items.select("item_id", F.round(O.item_heat(F.col("score"), F.col("event_type"), F.col("official"), age), 6).alias("heat"))
 
 
@@ -193,9 +198,10 @@ def latest(spark, sf):
     return P.latest(T_(spark, sf, "events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("J7_latest_as_of", "SELECT user_id, event_id FROM events WHERE event_id <= 700 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("J7_latest_as_of", "SELECT user_id, event_id FROM events WHERE event_id <= (SELECT max(event_id) * 7 // 10 FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def latest_as_of(spark, sf):
-    return P.latest_as_of(T_(spark, sf, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], F.col("event_id") <= 700)
+    e = T_(spark, sf, "events").select("user_id", "event_id")
+    return P.latest_as_of(e, ["user_id"], ["event_id"], F.col("event_id") <= mark(e, 7))
 
 
 @query("J9_near_in_time", """SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 7200000000""")
@@ -219,12 +225,12 @@ def as_of(spark, sf):
     return P.as_of_join(orders, events, "user_id", "t", "ts", ["event_id"], "event_id").select("o_orderkey", "event_id")
 
 
-@query("J13_status_at_sequence", """, ended AS (SELECT user_id, arg_min(event_type, event_id) AS s FROM events WHERE event_type IN ('error', 'purchase') AND event_id <= 600 GROUP BY user_id)
+@query("J13_status_at_sequence", """, ended AS (SELECT user_id, arg_min(event_type, event_id) AS s FROM events WHERE event_type IN ('error', 'purchase') AND event_id <= (SELECT max(event_id) * 6 // 10 FROM events) GROUP BY user_id)
   SELECT c_custkey AS id, coalesce(s, 'open') AS status FROM customer LEFT JOIN ended ON user_id = c_custkey""", True)
 def status_at(spark, sf):
     base = T_(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("open").alias("status"))
     ends = T_(spark, sf, "events").where("event_type in ('error', 'purchase')").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
-    return P.status_at(base, ends, 600)
+    return P.status_at(base, ends, mark(T_(spark, sf, "events"), 6))
 
 
 @query("J18_redirects")
@@ -406,13 +412,13 @@ def idempotent(spark, sf):
     return S.idempotent(T_(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "event_type"), "key", "event_type")
 
 
-@query("SY1_changes", "SELECT event_id AS seq, event_type AS kind FROM events WHERE event_id > 100 AND event_id <= 800 AND event_type IN ('click', 'view') ORDER BY event_id LIMIT 60")
+@query("SY1_changes", "SELECT event_id AS seq, event_type AS kind FROM events WHERE event_id > 100 AND event_id <= (SELECT max(event_id) * 8 // 10 FROM events) AND event_type IN ('click', 'view') ORDER BY event_id LIMIT 60")
 def changes(spark, sf):
     log = T_(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
-    return S.changes(log, 100, 800, ["click", "view"], 60)
+    return S.changes(log, 100, mark(T_(spark, sf, "events"), 8), ["click", "view"], 60)
 
 
-_SNAP = "snap AS (SELECT concat('r', user_id) AS resource, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE event_type END AS kind FROM events WHERE event_id <= 900 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)"
+_SNAP = "snap AS (SELECT concat('r', user_id) AS resource, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE event_type END AS kind FROM events WHERE event_id <= (SELECT max(event_id) * 9 // 10 FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)"
 
 
 def _log(spark, sf):
@@ -422,18 +428,18 @@ def _log(spark, sf):
 
 @query("SY2_snapshot", f"WITH {_SNAP} SELECT resource, seq, kind FROM snap WHERE kind <> 'delete'")
 def snapshot(spark, sf):
-    return S.snapshot(_log(spark, sf), 900)
+    return S.snapshot(_log(spark, sf), mark(T_(spark, sf, "events"), 9))
 
 
 @query("SY2_pages", f"WITH {_SNAP}, placed AS (SELECT (row_number() OVER (ORDER BY resource) - 1) // 50 AS page, resource, resource || ':' || seq AS r FROM snap WHERE kind <> 'delete') SELECT page, count(*) AS n, sha256('[' || string_agg(r, ',' ORDER BY resource) || ']') AS sha256 FROM placed GROUP BY page")
 def snapshot_pages(spark, sf):
-    return S.pages(S.snapshot(_log(spark, sf), 900), 50, F.concat_ws(":", "resource", "seq"))
+    return S.pages(S.snapshot(_log(spark, sf), mark(T_(spark, sf, "events"), 9)), 50, F.concat_ws(":", "resource", "seq"))
 
 
 @query("SY3_apply_changes", "SELECT user_id, event_id AS seq FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'")
 def apply_changes(spark, sf):
     e = T_(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"))
-    return S.apply_changes(e.where("seq <= 300 and op = 'update'").groupBy("user_id").agg(F.max("seq").alias("seq")), e, "user_id")
+    return S.apply_changes(e.where((F.col("seq") <= mark(T_(spark, sf, "events"), 3)) & (F.col("op") == "update")).groupBy("user_id").agg(F.max("seq").alias("seq")), e, "user_id")
 
 
 @query("U2_merge_by_url", "SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS key, min(page_id) AS id, count(*) AS n FROM pages GROUP BY 1")
@@ -486,11 +492,11 @@ def per_stratum(spark, sf):
     return S.sample_per_stratum(T_(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", "k", 3).select("doc_id", "source")
 
 
-@query("X2_reconcile", "SELECT coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NULL THEN 'add' WHEN b.k IS NULL THEN 'retire' WHEN a.v = b.v THEN 'keep' ELSE 'update' END AS action FROM (SELECT c_custkey AS k, c_nationkey % 3 AS v FROM customer WHERE c_custkey % 4 <> 0) a FULL JOIN (SELECT c_custkey AS k, c_nationkey % 2 AS v FROM customer WHERE c_custkey % 5 <> 0) b ON a.k = b.k")
+@query("X2_reconcile", "SELECT coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NULL THEN 'add' WHEN b.k IS NULL THEN 'retire' WHEN a.v = b.v THEN 'keep' ELSE 'update' END AS action FROM (SELECT user_id AS k, count(*) % 3 AS v FROM events GROUP BY user_id) a FULL JOIN (SELECT c_custkey AS k, c_nationkey % 3 AS v FROM customer) b ON a.k = b.k")
 def reconcile(spark, sf):
-    c = T_(spark, sf, "customer")
-    side = lambda n, m: c.where(F.col("c_custkey") % n != 0).select(F.col("c_custkey").alias("key"), (F.col("c_nationkey") % m).alias("v"))
-    return S.reconcile(side(4, 3), side(5, 2), "key", ["v"])
+    have = T_(spark, sf, "events").groupBy(F.col("user_id").alias("key")).agg((F.count("*") % 3).cast("bigint").alias("v"))
+    want = T_(spark, sf, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_nationkey") % 3).cast("bigint").alias("v"))
+    return S.reconcile(have, want, "key", ["v"])
 
 
 # Scalar functions
@@ -501,11 +507,6 @@ def canonical(spark, sf):
     return T_(spark, sf, "pages").select("page_id", X.canonical_url(F.col("url")).alias("u"))
 
 
-@query("F1_normal_url")
-def normal_url(spark, sf):
-    return T_(spark, sf, "pages").select("page_id", X.normal_url(F.col("url")).alias("u"))
-
-
 @query("F7_trigrams", "SELECT p_partkey, len(list_distinct(list_transform(range(1, greatest(len(p_name) - 2, 1) + 1), lambda i: substring(p_name, i, 3))))::INT AS n FROM part")
 def trigram_count(spark, sf):
     return T_(spark, sf, "part").select("p_partkey", F.size(X.trigrams(F.col("p_name"))).alias("n"))
@@ -526,11 +527,6 @@ def guess(spark, sf):
     return T_(spark, sf, "documents").select("doc_id", X.language_guess(F.col("text")).alias("guess"))
 
 
-@query("F22_problem")
-def problems(spark, sf):
-    return T_(spark, sf, "documents").select("doc_id", X.problem(F.col("text")).alias("problem"))
-
-
 @query("F27_json_hash", "SELECT c_custkey, sha256('{\"key\":' || c_custkey || ',\"name\":\"' || c_name || '\"}') AS sha FROM customer")
 def json_hash(spark, sf):
     fact = F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("key"), F.lit(1).alias("seen"))
@@ -568,13 +564,6 @@ def search(spark, sf):
     return O.page(hits, [F.col("doc_id")], 50)
 
 
-@query("D2_themes", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(t, 'licens') THEN 'licence' END, CASE WHEN contains(t, 'password') OR contains(t, 'token') THEN 'secret' END, CASE WHEN regexp_matches(t, '[0-9]{16}') THEN 'card' END], lambda x: x IS NOT NULL), ',') AS themes FROM (SELECT doc_id, lower(text) AS t FROM documents)")
-def themes(spark, sf):
-    t = F.lower("text")
-    rules = [("licence", t.contains("licens")), ("secret", t.contains("password") | t.contains("token")), ("card", t.rlike("[0-9]{16}"))]
-    return T_(spark, sf, "documents").select("doc_id", F.array_join(F.array(*[F.when(c, n) for n, c in rules]), ",").alias("themes"))
-
-
 @query("D20_digest", "SELECT channel, item_id, rank::INT AS rank FROM (SELECT channel, item_id, row_number() OVER (PARTITION BY channel ORDER BY coalesce(score, 50) DESC, item_id DESC) AS rank FROM items WHERE coalesce(tmt, 1) <> 0 AND published_at >= TIMESTAMP '2024-01-10' AND published_at < TIMESTAMP '2024-01-11') WHERE rank <= 20", True)
 def digest(spark, sf):
     day = O.visible(R.items(spark, sf)).where("published_at >= '2024-01-10' and published_at < '2024-01-11'")
