@@ -101,6 +101,11 @@ def bucket(ident: Column, key: Column | str, buckets: int = 10_000) -> Column:
     return (F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)") % buckets).cast("int")
 
 
+def redacted(text: Column) -> Column:
+    """A text without the values of parameters and fields that carry secrets."""
+    return F.regexp_replace(text, rf"(?i)\b((?:{SECRET_PARAMS})\s*[=:]\s*)[^\s&]+", "$1[redacted]")
+
+
 def company_number(cik: Column) -> Column:
     return F.lpad(F.trim(cik.cast("string")), 10, "0")
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from newsloom import more_queries, queries, story_queries  # noqa: F401
+from newsloom import catalog_queries, more_queries, queries, story_queries  # noqa: F401
 from tests import oracle
 
 
