@@ -2,8 +2,9 @@
 
 Vectors are normalised and projected on Gaussian directions; projections are shifted, divided by a
 width and rounded down, and a table's key is the hash of its quantised projections. The number of
-projections grows with the number of vectors so that a chance partner in a bucket stays rare, and the
-number of tables follows from the recall wanted at the threshold. Equal vectors are folded first. Pairs are
+projections grows with the number of vectors so that chance partners in a bucket stay few, and the
+number of tables follows from the recall wanted at the threshold. Equal vectors are folded first. Sign
+sketches tell which rows of a bucket have a partner at all; only those are sent with their vectors. Pairs are
 compared within buckets, large buckets in pairs of blocks; a pair that meets in several tables counts
 in the first. Pairs are never listed: each row gets its number of links and one link into its group.
 """
@@ -15,14 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, free_name, partitions
+from .common import components, cut, free_name, partitions, scratch
 
 THRESHOLD, RECALL, WIDTH, SEED = 0.95, 0.998, 2.0, 20240229
-#: Rows of a bucket that are compared with each other at once.
-BLOCK = 1024
+#: Rows of a bucket that are compared with each other at once; unrelated vectors that share a bucket.
+BLOCK, CROWD = 1024, 256
+#: Sign bits of a sketch, and by how many standard deviations two near vectors' bits may differ more than expected.
+BITS, SPREAD = 128, 6.0
+#: A bucket is heavy if this many of every SAMPLED vectors fall into it: it is then compared in blocks without a look at the sketches.
+HEAVY, SAMPLED = 200, 64
 
 
 def collision(distance: float, width: float) -> float:
@@ -34,9 +39,9 @@ def collision(distance: float, width: float) -> float:
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL, width: float = WIDTH) -> tuple[int, int]:
-    """Projections for each table, and tables: unrelated vectors share a bucket about once, near ones in some table."""
+    """Projections for each table, and tables: about CROWD unrelated vectors share a bucket, near ones meet in some table."""
     far, near = collision(math.sqrt(2), width), collision(math.sqrt(max(0.0, 2 - 2 * threshold)), width)
-    k = max(4, math.ceil(math.log(max(n, 2)) / -math.log(far)))
+    k = max(4, math.ceil(math.log(max(n / CROWD, 2)) / -math.log(far)))
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(near**k, 1 - 1e-12))))
 
 
@@ -58,8 +63,75 @@ def keys_of(x: np.ndarray, k: int, tables: int, width: float, seed: int) -> np.n
     return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
+def sketches(x: np.ndarray, seed: int) -> np.ndarray:
+    """The signs of random projections of each row, as BITS / 64 numbers."""
+    directions = np.random.default_rng([seed, x.shape[1], BITS]).standard_normal((x.shape[1], BITS))
+    return np.packbits(x @ directions > 0, axis=1).view(np.int64)
+
+
+def most_bits(threshold: float) -> int:
+    """How many sign bits of two vectors at the threshold differ at most, but with a chance of about one in a thousand million."""
+    share = math.acos(threshold) / math.pi
+    return min(BITS, math.ceil(BITS * share + SPREAD * math.sqrt(BITS * share * (1 - share))))
+
+
+def _near(slots: DataFrame, most: int) -> DataFrame:
+    """id, table, key, n: the rows of each bucket that have a partner there whose sketch is near, and how many those are; slots: table, key, id, sketch."""
+    dealt = slots.select("table", "key", "id", "sketch").repartition(partitions(slots.sparkSession), "table", "key").sortWithinPartitions("table", "key")
+
+    def close(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        for start in range(0, len(x), 256):
+            part = x[start : start + 256]
+            apart = sum(np.bitwise_count(part[:, None, w] ^ x[None, :, w]).astype(np.int16) for w in range(x.shape[1]))
+            apart[np.arange(len(part)), np.arange(start, start + len(part))] = BITS + 1
+            out[start : start + 256] = (apart <= most).any(axis=1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last, out, size = None, [], 0
+
+        def done() -> None:
+            nonlocal size
+            ids, bits = (np.concatenate(c) for c in zip(*held, strict=True))
+            if len(ids) > 1:
+                found = ids[close(bits)]
+                if len(found):
+                    out.append((found, last, len(found)))
+                    size += len(found)
+
+        def table() -> pa.RecordBatch:
+            counts = [len(f) for f, _, _ in out]
+            columns = [np.concatenate([f for f, _, _ in out]), *[np.repeat(v, counts) for v in ([k[0] for _, k, _ in out], [k[1] for _, k, _ in out], counts)]]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["id", "table", "key", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tables, keys, ids = (batch.column(k).to_numpy() for k in range(3))
+            bits = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
+            cuts = [0, *(np.flatnonzero((tables[1:] != tables[:-1]) | (keys[1:] != keys[:-1])) + 1).tolist(), batch.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                key = (int(tables[a]), int(keys[a]))
+                if key != last and held:
+                    done()
+                    held = []
+                last = key
+                held.append((ids[a:z], bits[a:z]))
+            if size > 20_000:
+                yield table()
+                out, size = [], 0
+        if held:
+            done()
+        if out:
+            yield table()
+
+    return dealt.mapInArrow(run, "id long, table int, key long, n long")
+
+
 def _hashed(rows: DataFrame, k: int, tables: int, width: float, seed: int) -> DataFrame:
-    """rows (id, copies, vector) with keys."""
+    """rows (id, copies, vector) with keys and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -67,15 +139,16 @@ def _hashed(rows: DataFrame, k: int, tables: int, width: float, seed: int) -> Da
                 batch = whole.slice(start, 2048)
                 lists = batch.column(2)
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-                out = np.zeros((batch.num_rows, tables), np.int64)
+                out, signs = np.zeros((batch.num_rows, tables), np.int64), np.zeros((batch.num_rows, BITS // 64), np.int64)
                 for dim in np.unique(sizes):
                     at = np.flatnonzero(sizes == dim)
-                    out[at] = keys_of(unit(lists.take(pa.array(at)).flatten().to_numpy(), int(dim)), k, tables, width, seed)
-                ends = pa.array(np.arange(0, (batch.num_rows + 1) * tables, tables, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], ["id", "copies", "vector", "keys"])
+                    x = unit(lists.take(pa.array(at)).flatten().to_numpy(), int(dim))
+                    out[at], signs[at] = keys_of(x, k, tables, width, seed), sketches(x, seed)
+                listed = [pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * c.shape[1], c.shape[1], dtype=np.int32)), pa.array(c.ravel())) for c in (out, signs)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *listed], ["id", "copies", "vector", "keys", "sketch"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id long, copies long, vector {kind}, keys array<long>")
+    return rows.mapInArrow(run, f"id long, copies long, vector {kind}, keys array<long>, sketch array<long>")
 
 
 def _group_links(table: int, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray, keys: np.ndarray, threshold: float, across: bool):
@@ -184,7 +257,7 @@ def classes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     """One row per row: vec_id, n_links, component_id, kept.
 
     Rows are linked if the cosine of their vectors, in double precision, is at least the threshold; none below it are.
-    A pair at the threshold is found with the chance `recall`, nearer pairs almost surely. component_id is the smallest
+    A pair at the threshold is found with the chance `recall` (its sketches differ too much once in a thousand million), nearer pairs almost surely. component_id is the smallest
     vec_id reachable by links, itself included; kept tells whether it is the row's own. Vectors that are null, empty, zero or
     have null or non-finite components, and rows with a null vec_id, link with nothing; vectors of different
     lengths neither. Repeated rows count as copies of each other. An empty table gives an empty result.
@@ -192,24 +265,41 @@ def classes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     v = rows.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("vector"))
     fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     good = F.coalesce(F.forall("vector", fine) & F.exists("vector", lambda c: c != 0), F.lit(False)) & F.col("id").isNotNull()
+    with scratch() as stay:
+        folded, links, groups = _found(v, good, threshold, recall, width, seed, block)
+        stay += [folded, links, groups]
+    named = folded.join(links, "id", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    named = named.select("vector", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    ok = free_name("ok", [])
+    out = v.withColumn(ok, good).join(named.withColumn(ok, F.lit(True)), [ok, "vector"], "left")
+    own_group = F.coalesce("component", "id")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), own_group.alias("component_id"), F.coalesce(own_group == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _found(v: DataFrame, good: Column, threshold: float, recall: float, width: float, seed: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct vectors, the links of each, and the components of their links."""
     folded = cut(v.where(good).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies", "vector"), "vectors")
     k, tables = plan(folded.count(), threshold, recall, width)
     hashed = cut(_hashed(folded, k, tables, width, seed), "hashed")
-    slots = hashed.select("id", F.posexplode("keys").alias("table", "key"))
-    shared = cut(slots.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    slots = hashed.select("id", "sketch", F.posexplode("keys").alias("table", "key"))
+    # a bucket that holds many of a fixed share of vectors is compared as it is; of others only rows with a near sketch go on
+    some = slots.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLED)) == 0)
+    heavy = cut(some.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY).select("table", "key"), "heavy")
+    light = slots.join(F.broadcast(heavy), ["table", "key"], "left_anti")  # tables / (HEAVY * SAMPLED) rows for each vector at most
+    near = _near(light, most_bits(threshold))
+    if heavy.limit(1).count():
+        crowded = cut(slots.select("id", "table", "key").join(F.broadcast(heavy), ["table", "key"]), "crowded")
+        sizes = crowded.groupBy("table", "key").agg(F.count("*").alias("n"))
+        near = near.union(crowded.join(F.broadcast(sizes), ["table", "key"]).select("id", "table", "key", "n"))  # as many rows as heavy
+    near = cut(near, "near")
     parts = F.expr(f"cast(n div {block} as int) + 1")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    dealt = slots.join(shared, ["table", "key"]).select("id", "table", "key", own.alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    members = dealt.select("id", "table", "key", F.least("side", "other").alias("pa"), F.greatest("side", "other").alias("pb"), "side").join(hashed, "id")
+    dealt = near.select("id", "table", "key", own.alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    members = dealt.select("id", "table", "key", F.least("side", "other").alias("pa"), F.greatest("side", "other").alias("pb"), "side").join(hashed.drop("sketch"), "id")
     found = cut(_linked(members, threshold), "linked")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    links = cut(found.groupBy("id").agg(F.sum("links").alias("links")), "links")
     groups = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = folded.join(links, "id", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = named.select("vector", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    ok = free_name("ok", [])
-    out = v.withColumn(ok, good).join(named.withColumn(ok, F.lit(True)), [ok, "vector"], "left")
-    own_group = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), own_group.alias("component_id"), F.coalesce(own_group == F.col("id"), F.lit(True)).alias("kept"))
+    return folded, links, groups
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

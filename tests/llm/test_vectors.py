@@ -67,3 +67,27 @@ def test_recall_at_the_threshold():
     a, b = (vectors.keys_of(v, k, tables, vectors.WIDTH, vectors.SEED) for v in (x, y))
     assert (a == b).any(axis=1).mean() >= 0.98
     assert (a == np.roll(b, 1, axis=0)).any(axis=1).mean() < 0.05
+
+
+def test_heavy_buckets(spark, monkeypatch):
+    """Buckets that count as heavy skip the sketches and give the same links."""
+    monkeypatch.setattr(vectors, "HEAVY", 2)
+    monkeypatch.setattr(vectors, "SAMPLED", 1)
+    rows = made()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.classes(frame, recall=0.99999).collect()}
+    assert got == brute(rows)
+
+
+def test_sketches_of_near_vectors():
+    """No pair at the threshold is lost by its sketches; unrelated ones nearly all are."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.standard_normal((20_000, 64))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (vectors.sketches(v, vectors.SEED).view(np.uint64) for v in (x, 0.95 * x + np.sqrt(1 - 0.95**2) * z))
+    apart = lambda p, q: np.bitwise_count(p ^ q).sum(axis=1)
+    most = vectors.most_bits(0.95)
+    assert (apart(a, b) <= most).all() and (apart(a, np.roll(b, 1, axis=0)) <= most).mean() < 0.001
