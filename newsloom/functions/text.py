@@ -52,13 +52,13 @@ def _normal_url(url: str | None) -> str:
     return urlunsplit((parts.scheme, parts.netloc.rpartition("@")[2].lower(), parts.path or "/", urlencode(kept), ""))
 
 
-def normal_url():
-    """A vectorised function: http and https URLs with lower-cased host, without user, tracking or secret parameters and fragment, the query decoded and encoded anew, a path of at least a slash; anything else is empty."""
+def normal_url(url: Column) -> Column:
+    """http and https URLs with lower-cased host, without user, tracking or secret parameters and fragment, the query decoded and encoded anew, a path of at least a slash; anything else is empty, null stays null. A vectorised function, as Spark cannot decode a query."""
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(_normal_url)
+        return s.map(lambda x: None if x is None else _normal_url(x))
 
-    return f
+    return f(url)
 
 
 def host(url: Column) -> Column:

@@ -143,7 +143,7 @@ def test_titles(spark):
 
 def test_normal_url(spark):
     cases = {"HTTP://u:p@A.B/x?utm_source=1&q=a%20b&token=z#f": "http://a.b/x?q=a+b", "ftp://a.b/x": "", "javascript://a": "", "https://a.b": "https://a.b/", "": "", "http://a.b/?x=&y": "http://a.b/?x=&y="}
-    got = {r.u: r.n for r in spark.createDataFrame([(u,) for u in cases], "u string").select("u", X.normal_url()("u").alias("n")).collect()}
+    got = {r.u: r.n for r in spark.createDataFrame([(u,) for u in cases], "u string").select("u", X.normal_url(F.col("u")).alias("n")).collect()}
     assert got == cases
 
 
