@@ -262,25 +262,26 @@ def classes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     have null or non-finite components, and rows with a null vec_id, link with nothing; vectors of different
     lengths neither. Repeated rows count as copies of each other. An empty table gives an empty result.
     """
-    v = rows.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("vector"))
+    v = rows.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("vector"), F.xxhash64(F.lit(1), F.col(vector)).alias("ha"), F.xxhash64(F.lit(2), F.col(vector)).alias("hb"))
     fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     good = F.coalesce(F.forall("vector", fine) & F.exists("vector", lambda c: c != 0), F.lit(False)) & F.col("id").isNotNull()
     with scratch() as stay:
         folded, links, groups = _found(v, good, threshold, recall, width, seed, block)
         stay += [folded, links, groups]
     named = folded.join(links, "id", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = named.select("vector", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    named = named.select("ha", "hb", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     ok = free_name("ok", [])
-    out = v.withColumn(ok, good).join(named.withColumn(ok, F.lit(True)), [ok, "vector"], "left")
+    # 128 bits of the vector stand for it, so that it need not be sent again
+    out = v.select("id", "ha", "hb", good.alias(ok)).join(named.withColumn(ok, F.lit(True)), [ok, "ha", "hb"], "left")
     own_group = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), own_group.alias("component_id"), F.coalesce(own_group == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _found(v: DataFrame, good: Column, threshold: float, recall: float, width: float, seed: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The distinct vectors, the links of each, and the components of their links."""
-    folded = cut(v.where(good).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies", "vector"), "vectors")
+    folded = cut(v.where(good).groupBy("vector", "ha", "hb").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies", "vector", "ha", "hb"), "vectors")
     k, tables = plan(folded.count(), threshold, recall, width)
-    hashed = cut(_hashed(folded, k, tables, width, seed), "hashed")
+    hashed = cut(_hashed(folded.drop("ha", "hb"), k, tables, width, seed), "hashed")
     slots = hashed.select("id", "sketch", F.posexplode("keys").alias("table", "key"))
     # a bucket that holds many of a fixed share of vectors is compared as it is; of others only rows with a near sketch go on
     some = slots.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLED)) == 0)
