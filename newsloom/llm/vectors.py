@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, free_name, partitions, scratch
 
-THRESHOLD, RECALL, WIDTH, SEED = 0.95, 0.998, 2.0, 20240229
+THRESHOLD, RECALL, WIDTH, SEED = 0.95, 0.99, 2.0, 20240229
+#: Rows of crowds up to which their names are sent to all tasks; more are joined by their ids.
+SMALL = 1 << 19
 #: Rows of a bucket that are compared with each other at once; unrelated vectors that share a bucket.
 BLOCK, CROWD = 1024, 256
 #: Sign bits of a sketch, and by how many standard deviations two near vectors' bits may differ more than expected.
 BITS, SPREAD = 128, 6.0
-#: A bucket is heavy if this many of every SAMPLED vectors fall into it: it is then compared in blocks without a look at the sketches.
-HEAVY, SAMPLED = 200, 64
+#: A bucket is heavy if it holds this many of the vectors that a hash takes, one of SAMPLED; rows of a crowd that are looked at together.
+HEAVY, SAMPLED, CHUNK = 200, 64, 4096
 
 
 def collision(distance: float, width: float) -> float:
@@ -59,6 +61,7 @@ def keys_of(x: np.ndarray, k: int, tables: int, width: float, seed: int) -> np.n
     odd = (rng.integers(0, 1 << 63, k * tables, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     cells = np.floor((x @ directions + shifts) / width).astype(np.int64).view(np.uint64)
     h = (cells * odd).reshape(len(x), tables, k).sum(axis=2, dtype=np.uint64)
+    h += np.uint64(x.shape[1] * 0x9E3779B97F4A7C15 % (1 << 64))  # cells of other dimensions are no neighbours
     h ^= h >> np.uint64(31)
     return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
@@ -76,27 +79,35 @@ def most_bits(threshold: float) -> int:
 
 
 def _near(slots: DataFrame, most: int) -> DataFrame:
-    """id, table, key, n: the rows of each bucket that have a partner there whose sketch is near, and how many those are; slots: table, key, id, sketch."""
-    dealt = slots.select("table", "key", "id", "sketch").repartition(partitions(slots.sparkSession), "table", "key").sortWithinPartitions("table", "key")
+    """id, table, key, n: the rows of each bucket that have a partner there whose sketch is near, and how many those are; slots: table, key, id, sketch, crowd.
 
-    def close(x: np.ndarray) -> np.ndarray:
+    Two rows of one crowd (-1: none) are no partners: they are compared elsewhere.
+    """
+    words = [F.get("sketch", F.lit(w)).alias(f"word{w}") for w in range(BITS // 64)]
+    dealt = slots.select("table", "key", "id", "crowd", *words).repartition(partitions(slots.sparkSession), "table", "key").sortWithinPartitions("table", "key")
+
+    def close(x: np.ndarray, crowd: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), bool)
         for start in range(0, len(x), 256):
             part = x[start : start + 256]
-            apart = sum(np.bitwise_count(part[:, None, w] ^ x[None, :, w]).astype(np.int16) for w in range(x.shape[1]))
+            apart = np.bitwise_count(part[:, 0, None] ^ x[None, :, 0])
+            for w in range(1, x.shape[1]):
+                apart += np.bitwise_count(part[:, w, None] ^ x[None, :, w])
             apart[np.arange(len(part)), np.arange(start, start + len(part))] = BITS + 1
+            if (crowd[start : start + 256] >= 0).any():
+                apart[(crowd[start : start + 256, None] == crowd[None, :]) & (crowd[None, :] >= 0)] = BITS + 1
             out[start : start + 256] = (apart <= most).any(axis=1)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         last, out, size = None, [], 0
 
         def done() -> None:
             nonlocal size
-            ids, bits = (np.concatenate(c) for c in zip(*held, strict=True))
+            ids, bits, crowd = (np.concatenate(c) for c in zip(*held, strict=True))
             if len(ids) > 1:
-                found = ids[close(bits)]
+                found = ids[close(bits, crowd)]
                 if len(found):
                     out.append((found, last, len(found)))
                     size += len(found)
@@ -109,8 +120,8 @@ def _near(slots: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tables, keys, ids = (batch.column(k).to_numpy() for k in range(3))
-            bits = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
+            tables, keys, ids, crowds = (batch.column(k).to_numpy() for k in range(4))
+            bits = np.stack([batch.column(k).to_numpy() for k in range(4, 4 + BITS // 64)], axis=1).view(np.uint64)
             cuts = [0, *(np.flatnonzero((tables[1:] != tables[:-1]) | (keys[1:] != keys[:-1])) + 1).tolist(), batch.num_rows]
             for a, z in zip(cuts, cuts[1:], strict=False):
                 key = (int(tables[a]), int(keys[a]))
@@ -118,7 +129,7 @@ def _near(slots: DataFrame, most: int) -> DataFrame:
                     done()
                     held = []
                 last = key
-                held.append((ids[a:z], bits[a:z]))
+                held.append((ids[a:z], bits[a:z], crowds[a:z]))
             if size > 20_000:
                 yield table()
                 out, size = [], 0
@@ -151,25 +162,35 @@ def _hashed(rows: DataFrame, k: int, tables: int, width: float, seed: int) -> Da
     return rows.mapInArrow(run, f"id long, copies long, vector {kind}, keys array<long>, sketch array<long>")
 
 
-def _group_links(table: int, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray, keys: np.ndarray, threshold: float, across: bool):
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a[i] and b[i]; root[i] is the least of i's set, before and after."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def _group_links(table: int, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray, keys: np.ndarray, crowd: np.ndarray, threshold: float, across: bool):
     """For the rows of a group that have a link: id, copies linked in this table first, and the smallest id of their linked set."""
     n = len(ids)
     links, root = np.zeros(n, np.int64), np.arange(n)
     touched = np.zeros(n, bool)
     order = np.argsort(ids, kind="stable")
-    ids, copies, side, x, keys = ids[order], copies[order], side[order], x[order], keys[order]
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    ids, copies, side, x, keys, crowd = ids[order], copies[order], side[order], x[order], keys[order], crowd[order]
 
     for start in range(0, n, 512):
         near = x[start : start + 512] @ x.T >= threshold
         i, j = np.nonzero(near)
         i += start
-        keep = j > i
+        keep = (j > i) & ((crowd[i] < 0) | (crowd[i] != crowd[j]))
         if across:
             keep &= side[i] != side[j]
         i, j = i[keep], j[keep]
@@ -179,21 +200,7 @@ def _group_links(table: int, ids: np.ndarray, copies: np.ndarray, side: np.ndarr
             np.add.at(links, a[first], copies[b[first]])
             np.add.at(links, b[first], copies[a[first]])
             touched[a] = touched[b] = True
-            # a link that joins two sets; most join none
-            while len(a):
-                ra, rb = root[a], root[b]
-                apart = ra != rb
-                if not apart.any():
-                    break
-                p, q = top(int(ra[apart][0])), top(int(rb[apart][0]))
-                low, high = min(p, q), max(p, q)
-                root[high] = low
-                while True:
-                    up = root[root]
-                    if (up == root).all():
-                        break
-                    root[:] = up
-                a, b = a[apart], b[apart]
+            _join(root, a, b)
     at = np.flatnonzero(touched)
     return ids[at], links[at], ids[root[at]]
 
@@ -202,7 +209,7 @@ def _linked(members: DataFrame, threshold: float) -> DataFrame:
     """id, links, root; members: table, key, pa, pb (blocks compared), side (the row's block), id, copies, vector, keys."""
     spark = members.sparkSession
     group = ["table", "key", "pa", "pb"]
-    dealt = members.select(*group, "side", "id", "copies", "vector", "keys").repartition(partitions(spark), *group).sortWithinPartitions(*group)
+    dealt = members.select(*group, "side", "id", "copies", "vector", "keys", "crowd").repartition(partitions(spark), *group).sortWithinPartitions(*group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -222,7 +229,7 @@ def _linked(members: DataFrame, threshold: float) -> DataFrame:
             x = unit(lists.flatten().to_numpy(), int(sizes[0]))
             keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             get = lambda c: t.column(c).to_numpy()
-            return _group_links(int(get("table")[0]), get("id"), get("copies"), get("side"), x, keys, threshold, bool(get("pa")[0] != get("pb")[0]))
+            return _group_links(int(get("table")[0]), get("id"), get("copies"), get("side"), x, keys, get("crowd"), threshold, bool(get("pa")[0] != get("pb")[0]))
 
         def table(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["id", "links", "root"])
@@ -253,7 +260,136 @@ def _linked(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "id long, links long, root long")
 
 
-def classes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, width: float = WIDTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def _ball(x: np.ndarray, copies: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """A center, which rows lie within reach of it (an angle), and the greatest angle among them: the mean of the rows, then twice of those near it."""
+    near = np.ones(len(x), bool)
+    for _ in range(3):
+        center = (x[near] * copies[near, None]).sum(axis=0)
+        length = np.linalg.norm(center)
+        if not length:
+            return x[0], np.zeros(len(x), bool), 0.0
+        center = center / length
+        angle = np.arccos(np.clip(x @ center, -1, 1))
+        near = angle <= reach
+        if not near.any():
+            return center, near, 0.0
+    return center, near, float(angle[near].max())
+
+
+def _crowds(crowded: DataFrame, hashed: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """id, links, root of all pairs within a crowd; crowded: id, crowd. hashed: id, copies, vector.
+
+    A crowd is dealt into chunks. In each chunk most rows lie in a ball half as wide as a link, so all of them are linked; two balls
+    are linked as wholes if their centers are near enough, and apart as wholes if far enough. Only rows outside their chunk's ball, and pairs of balls
+    for which that does not decide, are compared row by row: tight crowds take time in proportion, not with its square.
+    """
+    spark = crowded.sparkSession
+    theta, slack = math.acos(threshold), 1e-7
+    sizes = crowded.groupBy("crowd").agg(F.count("*").alias("n"))
+    rows = crowded.join(F.broadcast(sizes), "crowd").select("id", "crowd", F.pmod(F.xxhash64(F.lit(5), "id"), F.expr(f"n div {chunk} + 1")).alias("chunk"))  # a row for each crowd
+    dealt = rows.join(hashed.select("id", "copies", F.col("vector").cast("array<double>").alias("vector")), "id").select("crowd", "chunk", "id", "copies", "vector")
+
+    def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(keys)]
+            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1).tolist(), batch.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                key = tuple(int(c[a]) for c in cols)
+                if key != last and held:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = key
+                held.append(batch.slice(a, z - a))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return unit(t.column("vector").combine_chunks().flatten().to_numpy(), len(t.column("vector")[0]))
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 2):
+            x, ids, copies = matrix(t), t.column("id").to_numpy(), t.column("copies").to_numpy()
+            center, near, radius = _ball(x, copies, theta / 2 - slack)
+            n = len(ids) + 1
+            # the rows, and one for the ball itself: the center, its least id, radius and size
+            whole = [*ids.tolist(), int(ids[near].min()) if near.any() else -1]
+            flat = pa.array(np.concatenate([x, center[None, :]]).ravel())
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * x.shape[1], x.shape[1], dtype=np.int32)), flat)
+            kind = pa.array([1 if k else 0 for k in near.tolist()] + [2], pa.int32())
+            same = [pa.array([t.column(c)[0].as_py()] * n, pa.int64()) for c in ("crowd", "chunk")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(whole, pa.int64()), pa.array([*copies.tolist(), int(copies[near].sum())], pa.int64()), vectors, kind, pa.array([0.0] * (n - 1) + [radius])], ["crowd", "chunk", "id", "copies", "vector", "kind", "radius"])
+
+    p = partitions(spark)
+    kept = cut(dealt.repartition(p, "crowd", "chunk").sortWithinPartitions("crowd", "chunk").mapInArrow(balls, "crowd long, chunk long, id long, copies long, vector array<double>, kind int, radius double"), "balls")
+    spheres = kept.where("kind = 2 and copies > 0").select("crowd", "chunk", "id", "copies", "vector", "radius")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # all balls of a crowd: one for each chunk
+        for t in grouped(batches, 1):
+            t = t.sort_by("id")
+            roots = np.arange(t.num_rows)
+            c, ids, size, radius, number = matrix(t), t.column("id").to_numpy(), t.column("copies").to_numpy(), t.column("radius").to_numpy(), t.column("chunk").to_numpy()
+            totals, later = [], []
+            for start in range(0, len(c), 256):
+                angle = np.arccos(np.clip(c[start : start + 256] @ c.T, -1, 1))
+                most, least = angle + radius[start : start + 256, None] + radius, angle - radius[start : start + 256, None] - radius
+                own = np.arange(start, start + len(angle))
+                most[np.arange(len(own)), own] = least[np.arange(len(own)), own] = 9.0
+                whole = most <= theta - slack
+                open_ = ~whole & (least <= theta + slack)
+                i, j = np.nonzero(whole)
+                _join(roots, own[i], j)
+                totals += (whole * size).sum(axis=1).tolist()
+                later += [number[np.flatnonzero(row & (np.arange(len(c)) > k))].tolist() for k, row in zip(own.tolist(), open_, strict=True)]
+            same = pa.array([t.column("crowd")[0].as_py()] * len(c), pa.int64())
+            yield pa.RecordBatch.from_arrays([same, pa.array(number), pa.array(size + np.array(totals, np.int64)), pa.array(ids[roots]), pa.array(later, pa.list_(pa.int64()))], ["crowd", "chunk", "total", "root", "open"])
+
+    told = cut(spheres.repartition(p, "crowd").sortWithinPartitions("crowd").mapInArrow(across, "crowd long, chunk long, total long, root long, open array<long>"), "spheres")
+    inside = kept.where("kind = 1").join(told.drop("open"), ["crowd", "chunk"]).select("id", (F.col("total") - F.col("copies")).alias("links"), "root")
+    # the edges that join balls: each ball's own least id with the least that it is linked with
+    inside = inside.union(told.join(spheres.select("crowd", "chunk", F.col("id").alias("least")), ["crowd", "chunk"]).select("least", F.lit(0).cast("bigint"), "root"))
+
+    # what is left: rows outside their ball against all chunks of their crowd, and pairs of balls that are open
+    chunks_of = kept.where("kind = 2").select("crowd", F.col("chunk").alias("other"))
+    lone = kept.where("kind = 0")
+    blocks = lone.groupBy("crowd").agg(F.count("*").alias("lone"))
+    block = F.pmod(F.xxhash64(F.lit(6), "id"), F.expr(f"lone div {chunk} + 1"))
+    columns = ["crowd", "other", "part", "id", "copies", "vector", "kind"]
+    asked = lone.join(F.broadcast(blocks), "crowd").withColumn("part", block).join(F.broadcast(chunks_of), "crowd").withColumn("kind", F.lit(-1)).select(*columns)  # a row for each chunk of a crowd
+    there = kept.where("kind < 2").join(F.broadcast(blocks), "crowd").withColumn("other", F.col("chunk")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"lone div {chunk}")))).select(*columns)
+    pairs = told.select("crowd", F.col("chunk").alias("other"), F.explode("open").alias("second"))
+    ball = kept.where("kind = 1").select("crowd", F.col("chunk").alias("c"), "id", "copies", "vector")
+    number = (-1 - F.col("second")).alias("part")  # open pairs have parts of their own, below zero
+    first = pairs.join(ball.withColumnRenamed("c", "other"), ["crowd", "other"]).select("crowd", "other", number, "id", "copies", "vector", F.lit(-2).alias("kind"))
+    second = pairs.join(ball.withColumnRenamed("c", "second"), ["crowd", "second"]).select("crowd", "other", number, "id", "copies", "vector", F.lit(2).alias("kind"))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 3):
+            t = t.sort_by("id")
+            kind, ids, copies = (t.column(c).to_numpy() for c in ("kind", "id", "copies"))
+            x = matrix(t)
+            left, right = np.flatnonzero(kind < 0), np.flatnonzero(kind >= 0)
+            links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for start in range(0, len(left), 512):
+                i = left[start : start + 512]
+                near = (x[i] @ x[right].T >= threshold) & (ids[i][:, None] != ids[right][None, :])
+                links[i] += (near * copies[right]).sum(axis=1)
+                # two rows outside their balls meet twice, once on each side, and count on the left only
+                links[right] += ((near & (kind[right] > 0)[None, :]) * copies[i][:, None]).sum(axis=0)
+                a, b = np.nonzero(near)
+                _join(root, i[a], right[b])
+            at = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]])], ["id", "links", "root"])
+
+    work = asked.union(there).union(first).union(second).repartition(p, "crowd", "other", "part").sortWithinPartitions("crowd", "other", "part")
+    return inside.union(work.mapInArrow(rest, "id long, links long, root long"))
+
+
+def classes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, width: float = WIDTH, seed: int = SEED, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept.
 
     Rows are linked if the cosine of their vectors, in double precision, is at least the threshold; none below it are.
@@ -266,7 +402,7 @@ def classes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     good = F.coalesce(F.forall("vector", fine) & F.exists("vector", lambda c: c != 0), F.lit(False)) & F.col("id").isNotNull()
     with scratch() as stay:
-        folded, links, groups = _found(v, good, threshold, recall, width, seed, block)
+        folded, links, groups = _found(v, good, threshold, recall, width, seed, block, chunk)
         stay += [folded, links, groups]
     named = folded.join(links, "id", "left").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     named = named.select("ha", "hb", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
@@ -277,27 +413,33 @@ def classes(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), own_group.alias("component_id"), F.coalesce(own_group == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _found(v: DataFrame, good: Column, threshold: float, recall: float, width: float, seed: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _found(v: DataFrame, good: Column, threshold: float, recall: float, width: float, seed: int, block: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The distinct vectors, the links of each, and the components of their links."""
     folded = cut(v.where(good).groupBy("vector", "ha", "hb").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies", "vector", "ha", "hb"), "vectors")
     k, tables = plan(folded.count(), threshold, recall, width)
     hashed = cut(_hashed(folded.drop("ha", "hb"), k, tables, width, seed), "hashed")
     slots = hashed.select("id", "sketch", F.posexplode("keys").alias("table", "key"))
-    # a bucket that holds many of a fixed share of vectors is compared as it is; of others only rows with a near sketch go on
+    # rows of buckets that hold many of a fixed share of vectors form crowds, which are compared by balls; in other buckets only rows with a near sketch go on
     some = slots.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLED)) == 0)
     heavy = cut(some.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY).select("table", "key"), "heavy")
-    light = slots.join(F.broadcast(heavy), ["table", "key"], "left_anti")  # tables / (HEAVY * SAMPLED) rows for each vector at most
-    near = _near(light, most_bits(threshold))
+    crowd = F.lit(-1).cast("bigint").alias("crowd")
+    light, known, found = slots.select("*", crowd), hashed.select("*", crowd), None
     if heavy.limit(1).count():
-        crowded = cut(slots.select("id", "table", "key").join(F.broadcast(heavy), ["table", "key"]), "crowded")
-        sizes = crowded.groupBy("table", "key").agg(F.count("*").alias("n"))
-        near = near.union(crowded.join(F.broadcast(sizes), ["table", "key"]).select("id", "table", "key", "n"))  # as many rows as heavy
-    near = cut(near, "near")
+        inside = cut(slots.select("id", "table", "key").join(F.broadcast(heavy), ["table", "key"]), "inside")  # tables / (HEAVY * SAMPLED) rows for each vector at most
+        least = inside.groupBy("table", "key").agg(F.min("id").alias("least"))
+        parted = components(inside.join(F.broadcast(least), ["table", "key"]).select(F.col("id").alias("a"), F.col("least").alias("b")))  # as many rows as heavy
+        named = parted.select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+        told = F.broadcast(named) if named.limit(SMALL + 1).count() <= SMALL else named
+        known = cut(hashed.join(told, "id", "left").withColumn("crowd", F.coalesce("crowd", F.lit(-1))), "crowded")
+        light = known.select("id", "sketch", F.posexplode("keys").alias("table", "key"), "crowd").join(F.broadcast(heavy), ["table", "key"], "left_anti")
+        found = cut(_crowds(named, hashed, threshold, chunk), "in_crowds")
+    near = cut(_near(light, most_bits(threshold)), "near")
     parts = F.expr(f"cast(n div {block} as int) + 1")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = near.select("id", "table", "key", own.alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    members = dealt.select("id", "table", "key", F.least("side", "other").alias("pa"), F.greatest("side", "other").alias("pb"), "side").join(hashed.drop("sketch"), "id")
-    found = cut(_linked(members, threshold), "linked")
+    members = dealt.select("id", "table", "key", F.least("side", "other").alias("pa"), F.greatest("side", "other").alias("pb"), "side").join(known.drop("sketch"), "id")
+    linked = cut(_linked(members, threshold), "linked")
+    found = linked if found is None else linked.union(found)
     links = cut(found.groupBy("id").agg(F.sum("links").alias("links")), "links")
     groups = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     return folded, links, groups
