@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, as_bytes, components, cut, free_name, over_texts, partitions, per_worker, scratch
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 120_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Members that share one copy of a bucket's smallest document; rows of a set of centers and of a block of members.
 SHARE, BLOCK = 64, 256

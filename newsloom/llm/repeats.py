@@ -26,7 +26,7 @@ from .common import Words, as_bytes, cut, free_name, partitions, per_worker, sli
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Buckets for each shuffle partition: a task holds the windows of one bucket at a time.
 BUCKETS = 4
 #: Words of text whose windows are sorted and packed at once.
