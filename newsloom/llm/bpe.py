@@ -27,7 +27,7 @@ from .common import Words, append, free_name, per_worker
 
 NAME = "word_bpe_49k.json"
 #: Pieces and fragments that a worker keeps.
-PIECES, FRAGMENTS = 100_000, 400_000
+PIECES, FRAGMENTS = 60_000, 150_000
 SUFFIX = "</w>"
 
 

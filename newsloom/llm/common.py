@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -142,9 +143,18 @@ _KEPT: dict = {}
 
 
 def per_worker(key, make):
-    """A value that a Python worker builds once and uses in all its tasks; only the newest few are kept."""
+    """A value that a Python worker builds once and uses in all its tasks; only the newest few of one kind are kept.
+
+    A worker that goes over to another kind of work (the first part of the key) first gives up what it kept for the one before, as
+    workers outlive stages and their memory adds up.
+    """
     if key not in _KEPT:
-        if len(_KEPT) >= 4:
+        kind = lambda k: k if isinstance(k, str) else k[0]
+        if any(kind(k) != kind(key) for k in _KEPT):
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        elif len(_KEPT) >= 4:
             _KEPT.pop(next(iter(_KEPT)))
         _KEPT[key] = make()
     return _KEPT[key]

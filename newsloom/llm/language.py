@@ -31,7 +31,7 @@ PENALTY, WORST, SMOOTH = 12.0, 10.0, 0.3
 SCRIPT_SHARE = 0.01
 BEGIN, END = ord("^"), ord("$")
 UNKNOWN = "und"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 #: First code points of scripts; a letter belongs to the last one that is not above it.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x32000, "other")]
 _FIRST, _NAME = [a for a, _ in SCRIPTS], [b for _, b in SCRIPTS]
