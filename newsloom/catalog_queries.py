@@ -676,3 +676,90 @@ def redacted(spark, sf):
 def array_sets(spark, sf):
     by = T_(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("a"), F.collect_set(F.when(F.col("value") > 50, F.col("event_type"))).alias("b"))
     return by.select("user_id", F.array_join(F.array_sort("b"), ",").alias("high"), F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("lost"))
+
+
+# Contracts, manifests, proofs
+
+
+def _cases(spark, sf, cases, fields, choices=None):
+    payload = F.element_at(F.array(*[F.lit(x) for x in cases]), (F.col("event_id") % len(cases) + 1).cast("int"))
+    return T_(spark, sf, "events").select("event_id", F.array_join(K.contract_faults(payload, fields, choices), ",").alias("faults"))
+
+
+@query("D29_tone_contracts", "SELECT event_id, ['', 'choice:speaker', 'missing:quote', 'type:confidence'][event_id % 4 + 1] AS faults FROM events")
+def tone_contracts(spark, sf):
+    cases = ('{"speaker": "company", "quote": "we grew", "confidence": 80}', '{"speaker": "nobody", "quote": "x", "confidence": 1}', '{"speaker": "analyst", "confidence": 5}', '{"speaker": "analyst", "quote": "q", "confidence": "high"}')
+    return _cases(spark, sf, cases, {"speaker": "string", "quote": "string", "confidence": "int"}, {"speaker": ["company", "analyst", "media"]})
+
+
+@query("X14_impact_contracts", "SELECT event_id, ['', 'choice:horizon', 'type:private'][event_id % 3 + 1] AS faults FROM events")
+def impact_contracts(spark, sf):
+    cases = ('{"horizon": "days", "role": "evidence", "private": false}', '{"horizon": "aeons", "role": "fact", "private": true}', '{"horizon": "weeks", "role": "fact", "private": 1}')
+    return _cases(spark, sf, cases, {"horizon": "string", "role": "string", "private": "bool"}, {"horizon": ["days", "weeks", "quarters"], "role": ["evidence", "fact"]})
+
+
+@query("SC13_manifest", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'missing:text,unknown' END AS faults FROM events")
+def manifest_shape(spark, sf):
+    """Lines of a manifest against its exact fields, over the events' own payloads put into one."""
+    k = F.get_json_object("props", "$.k")
+    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"id": '), k, F.lit(', "text": "t"}'))).otherwise(F.concat(F.lit('{"id": '), k, F.lit(', "note": "t"}')))
+    return T_(spark, sf, "events").select("event_id", F.array_join(K.contract_faults(line, {"id": "int", "text": "string"}), ",").alias("faults"))
+
+
+@query("D21_manifest_verify", "SELECT user_id, user_id % 4 <> 0 AS sound FROM (SELECT DISTINCT user_id FROM events)")
+def manifest_verify(spark, sf):
+    """Frozen report inputs, of which some lost a member, against the hash of their ordered members."""
+    e = T_(spark, sf, "events")
+    frozen = e.groupBy("user_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ","), 256).alias("sha"))
+    last = e.groupBy(F.col("user_id").alias("u")).agg(F.max("event_id").alias("gone"))
+    now = e.join(last, F.col("user_id") == F.col("u")).where((F.col("user_id") % 4 != 0) | (F.col("event_id") != F.col("gone")))
+    members = now.groupBy("user_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ","), 256).alias("now"))
+    return frozen.join(members, "user_id", "left").select("user_id", F.col("sha").eqNullSafe(F.col("now")).alias("sound"))
+
+
+@query("X7_sample_proof", "SELECT source AS subject, CASE WHEN max(doc_id) % 2 = 0 THEN 'current' ELSE 'stale' END AS state FROM documents WHERE source IS NOT NULL GROUP BY source")
+def sample_proof(spark, sf):
+    """Whether a sample was drawn at what is now the high water of its assignments."""
+    now = T_(spark, sf, "documents").where("source is not null").groupBy(F.col("source").alias("subject")).agg(F.max("doc_id").alias("high"))
+    drawn = now.select("subject", F.when(F.col("high") % 2 == 0, F.col("high")).otherwise(F.col("high") - 1).alias("drawn_at"))
+    return now.join(drawn, "subject").select("subject", F.when(F.col("high") == F.col("drawn_at"), "current").otherwise("stale").alias("state"))
+
+
+@query("X17_provenance", "SELECT event_id, ['', 'dataset', 'split', 'abstain'][event_id % 4 + 1] AS failed FROM events")
+def provenance(spark, sf):
+    k = F.col("event_id") % 4
+    runs = T_(spark, sf, "events").select("event_id", F.when(k == 1, "old").otherwise("d1").alias("dataset_sha"), F.when(k == 2, "train").otherwise("test").alias("split"), F.when(k == 3, "").otherwise("abstain").alias("abstain"))
+    return M.gate(runs, {"dataset": F.col("dataset_sha") == "d1", "split": F.col("split") == "test", "abstain": F.col("abstain") != ""}).select("event_id", "failed")
+
+
+@query("X21_backfill_progress", "SELECT user_id % 8 AS batch, count(*) AS total, count(*) FILTER (event_type <> 'error') AS done, count(*) FILTER (event_type = 'error') AS remaining FROM events GROUP BY 1")
+def backfill_progress(spark, sf):
+    """Rows mapped and still to map for each batch of a backfill."""
+    e = T_(spark, sf, "events").withColumn("batch", F.col("user_id") % 8)
+    mapped = e.where("event_type <> 'error'").select("event_id", F.lit(1).alias("mapped"))
+    return e.join(mapped, "event_id", "left").groupBy("batch").agg(F.count("*").alias("total"), F.count("mapped").alias("done"), F.count_if(F.col("mapped").isNull()).alias("remaining"))
+
+
+@query("X38_review_preview", "SELECT user_id, max(event_id) AS sequence, arg_max(event_type, event_id) AS decision, count(*) AS reviews FROM events GROUP BY user_id")
+def review_preview(spark, sf):
+    e = T_(spark, sf, "events").select("user_id", F.col("event_id").alias("sequence"), F.col("event_type").alias("decision"))
+    last = P.latest(e, ["user_id"], ["sequence"])
+    return last.join(e.groupBy("user_id").agg(F.count("*").alias("reviews")), "user_id").select("user_id", "sequence", "decision", "reviews")
+
+
+@query("D20_clusters", "SELECT story_id, count(DISTINCT publisher) AS publishers, count(*) AS items FROM items WHERE coalesce(tmt, 1) <> 0 AND story_id IS NOT NULL AND published_at >= TIMESTAMP '2024-01-02' AND published_at < TIMESTAMP '2024-01-03' GROUP BY story_id HAVING count(DISTINCT publisher) >= 2 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 12", True)
+def clusters(spark, sf):
+    day = O.visible(R.items(spark, sf)).where((F.col("published_at") >= lit_ts("2024-01-02")) & (F.col("published_at") < lit_ts("2024-01-03")) & F.col("story_id").isNotNull())
+    by = day.groupBy("story_id").agg(F.count_distinct("publisher").alias("publishers"), F.count("*").alias("items")).where("publishers >= 2")
+    return by.orderBy(F.col("publishers").desc(), F.col("items").desc(), "story_id").limit(12)
+
+
+@query("SK4_json_lines", "SELECT o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY 1")
+def json_lines(spark, sf):
+    """Rows written as JSON lines and read back by their schema."""
+    import uuid
+
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/lines-" + uuid.uuid4().hex
+    T_(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.json(folder)
+    back = R.read_any(spark, folder, "json", "o_orderkey long, o_custkey long, o_orderstatus string")
+    return back.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))

@@ -126,18 +126,3 @@ def shared_grams(df: DataFrame, ident: str, grams: Column, k: int | None, least:
         return pairs
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("shared").desc(), F.col("other")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def match_score(pairs: DataFrame, ratio, threshold: float = 0.72, hours: float = 72, headline_hours: float = 6) -> DataFrame:
-    """Score of candidate pairs: hard guards first, equal headlines at once, else the titles' similarity; only pairs that may pass are compared.
-
-    pairs: a_title, b_title, a_ts, b_ts (seconds), a_companies, b_companies, a_channel, b_channel, a_numbers, b_numbers.
-    """
-    apart = F.abs(F.col("a_ts") - F.col("b_ts"))
-    disjoint = (F.size("a_companies") > 0) & (F.size("b_companies") > 0) & ~F.arrays_overlap("a_companies", "b_companies")
-    numbers = (F.size("a_numbers") > 0) & (F.size("b_numbers") > 0) & ~F.arrays_overlap("a_numbers", "b_numbers")
-    barred = (apart > hours * 3600) | disjoint | (F.col("a_channel") != F.col("b_channel")) | numbers
-    same = (F.col("a_title") == F.col("b_title")) & (apart <= headline_hours * 3600)
-    shorter, longer = F.least(F.length("a_title"), F.length("b_title")), F.greatest(F.length("a_title"), F.length("b_title"))
-    hopeless = 2.0 * shorter / F.greatest(shorter + longer, F.lit(1)) < threshold
-    return pairs.withColumn("score", F.when(barred, 0.0).when(same, 1.0).when(hopeless, 0.0).otherwise(ratio(F.col("a_title"), F.col("b_title"))))

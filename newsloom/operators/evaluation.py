@@ -45,25 +45,6 @@ def first_failure(rules: dict[str, Column]) -> Column:
     return out
 
 
-def event_match(pairs: DataFrame, ratio) -> DataFrame:
-    """Decision and score of proposals against candidates: ordered hard negatives, then weights of what agrees.
-
-    pairs: a_type, b_type, a_entities, b_entities, a_period, b_period, a_modality, b_modality, a_facts, b_facts, a_title, b_title, hours.
-    """
-    known = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    no = (
-        F.when(F.col("a_type") != F.col("b_type"), "event_type")
-        .when((F.size("a_entities") > 0) & (F.size("b_entities") > 0) & ~F.arrays_overlap("a_entities", "b_entities"), "entities")
-        .when(known("a_period", "b_period") & (F.col("a_period") != F.col("b_period")), "period")
-        .when(known("a_modality", "b_modality") & (F.col("a_modality") != F.col("b_modality")), "modality")
-        .when(F.abs("hours") > 72, "time")
-    )
-    facts = F.try_divide(F.size(F.array_intersect("a_facts", "b_facts")), F.size(F.array_union("a_facts", "b_facts")))
-    score = 0.5 * ratio(F.col("a_title"), F.col("b_title")) + 0.3 * F.coalesce(facts, F.lit(0.0)) + 0.2 * F.arrays_overlap("a_entities", "b_entities").cast("double")
-    scored = pairs.withColumn("reason", no).withColumn("score", F.when(F.col("reason").isNotNull(), 0.0).otherwise(F.round(score, 6)))
-    return scored.withColumn("decision", F.when(F.col("reason").isNotNull(), "different").when(F.col("score") >= 0.8, "same").when(F.col("score") >= 0.5, "review").otherwise("different"))
-
-
 def split_faults(evidence: DataFrame, assigned: DataFrame, replacements: DataFrame) -> DataFrame:
     """Evidence of an event that no replacement takes, and replacements without evidence."""
     lost = evidence.select("evidence_id").join(assigned.select("evidence_id"), "evidence_id", "left_anti").select(F.lit("unassigned").alias("fault"), F.col("evidence_id").alias("id"))

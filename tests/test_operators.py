@@ -54,19 +54,6 @@ def test_words(spark):
     assert got == [(True, True, False), (True, False, False), (False, False, True), (True, False, False)]
 
 
-def test_problem(spark):
-    rows = [("fine text (really)", None), ("zero​width", "invisible"), ("aaaaaaaaaaaa", "loop"), ("echo echo echo echo echo echo ", "echo"), ("open (", "unbalanced"), ("bad �", "stray")]
-    out = spark.createDataFrame(rows, "t string, want string").select("want", X.problem(F.col("t")).alias("p")).collect()
-    assert all(r.p == r.want for r in out), out
-
-
-def test_similarity_and_guards(spark):
-    rows = [("new chip plant in texas", "new chip plant in texas", 0, 3600, ["a"], ["a"]), ("new chip plant in texas", "new chip plants in texas", 0, 3600, [], ["a"]), ("new chip plant", "new chip plant", 0, 3600, ["a"], ["b"]), ("x", "a very long other title", 0, 0, [], []), ("same", "same", 0, 80 * 3600, [], [])]
-    df = spark.createDataFrame([(*r, "ai", "ai", [], []) for r in rows], "a_title string, b_title string, a_ts long, b_ts long, a_companies array<string>, b_companies array<string>, a_channel string, b_channel string, a_numbers array<string>, b_numbers array<string>")
-    got = [round(r.score, 2) for r in dedup.match_score(df, X.ratio()).collect()]
-    assert got[0] == 1.0 and got[1] > 0.95 and got[2:] == [0.0, 0.0, 0.0]
-
-
 def test_pointers(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", "d"), ("x", "y"), ("y", "x"), ("s", "s")] + [(f"n{i}", f"n{i + 1}") for i in range(50)] + [("n50", None)]
     got = {r.id: (r.end, r.state) for r in dedup.follow(spark.createDataFrame(rows, "id string, to string"), "id", "to").collect()}
@@ -98,34 +85,3 @@ def test_first_per_story_ties(spark):
 def test_gate(spark):
     r = one(stats.gate(spark.createDataFrame([(5, None)], "n int, m int"), {"many": F.col("n") > 9, "known": F.col("m") > 0, "some": F.col("n") > 0}))
     assert r.failed == "many,known" and not r.passed
-
-
-def test_match_score_of_all_rows(spark, tmp_path):
-    """Every part is scored: equal titles, brands and times of their own, more than five partners, links as over all pairs."""
-    import difflib
-
-    from newsloom import more_queries
-
-    names = ["small blue ring", "small blue rings", "large blue ring", "cold widget 7", "cold widget 8", "ab", "zebra"]
-    parts = [(i + (5000 if i >= 40 else 0), names[i % 7], f"b{i % 3}") for i in range(80)]
-    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    out = more_queries.match_score(spark, str(tmp_path)).collect()
-    got = {(r.id, r.other): round(r.score, 6) for r in out if r.score >= 0.72}
-    want = {}
-    for j, s, x in parts:
-        for k, t, y in parts:
-            if k < j and x == y and j - k <= 72 * 60 and {s, t} != {"cold widget 7", "cold widget 8"}:
-                score = difflib.SequenceMatcher(None, s, t, autojunk=False).ratio()
-                if score >= 0.72:
-                    want[j, k] = round(score, 6)
-    assert len(out) == len({(r.id, r.other) for r in out}) and got == want
-
-
-def test_story_clusters(spark, tmp_path):
-    """Components of links: chains over times too far apart for a link, other brands and lone parts for themselves."""
-    from newsloom import more_queries
-
-    parts = [(1, "small blue ring", "b1"), (4001, "small blue rings", "b1"), (8001, "small blue ring", "b1"), (2, "small blue ring", "b2"), (20000, "small blue ring", "b1"), (3, "zebra", "b1"), (5, None, "b1")]
-    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.p_partkey: r.story for r in more_queries.story_clusters(spark, str(tmp_path)).collect()}
-    assert got == {1: 1, 4001: 1, 8001: 1, 2: 2, 20000: 20000, 3: 3, 5: 5}
