@@ -23,6 +23,8 @@ from .dedup import components, kept
 THRESHOLD, HOURS, HEADLINE_HOURS, LETTERS = 0.72, 72, 6, 8
 #: Least share of the shorter title's trigrams that candidates have in common, and article pairs that merge two stories.
 SHARED, PAIRS = 0.3, 2
+#: Titles that a title is compared with (a fixed value: what an article's candidates are cut to).
+NOMINEES = 120
 FACTS = ["published", "headline", "channel", "event_type", "companies", "official", "form", "url", "numbers", "move", "day", "key"]
 
 
@@ -62,11 +64,12 @@ def guard(a: str, b: str) -> Column:
     return out.when((F.size(x("numbers")) > 0) & (F.size(y("numbers")) > 0) & (x("numbers") != y("numbers")), 0.0)
 
 
-def title_pairs(keys: DataFrame, shared: float = SHARED, threshold: float = THRESHOLD) -> DataFrame:
+def title_pairs(keys: DataFrame, shared: float = SHARED, threshold: float = THRESHOLD, most: int = NOMINEES) -> DataFrame:
     """a, b, ratio for ordered pairs of distinct titles (key) that reach the threshold, each with itself included.
 
     A pair that shares that part of the shorter title's trigrams shares one among the rarest of them: only those are joined
-    with the other title's, so that the commonest trigrams of a title meet nothing.
+    with the other title's, so that the commonest trigrams of a title meet nothing. A title is compared with the titles that share most with
+    it, NOMINEES of them: that is the rule of such feeds.
     """
     titles = keys.select("key").where(F.length("key") >= LETTERS).distinct().select("key", X.trigrams(F.col("key")).alias("grams"))
     titles = kept(titles.withColumn("size", F.size("grams")))
@@ -78,11 +81,13 @@ def title_pairs(keys: DataFrame, shared: float = SHARED, threshold: float = THRE
     pairs = pairs.where("size < b_size or (size = b_size and key < b)").select("key", "b").distinct()
     grams = lambda name: titles.select(F.col("key").alias(name), F.col("grams").alias(f"{name}_grams"))
     near = pairs.withColumnRenamed("key", "a").join(grams("a"), "a").join(grams("b"), "b")
-    near = near.where(F.size(F.array_intersect("a_grams", "b_grams")) >= shared * F.least(F.size("a_grams"), F.size("b_grams")))
+    near = near.withColumn("shared", F.size(F.array_intersect("a_grams", "b_grams"))).where(F.col("shared") >= shared * F.least(F.size("a_grams"), F.size("b_grams"))).select("a", "b", "shared")
+    both = near.union(near.select("b", "a", "shared"))  # the ratio depends on the order
+    first = F.row_number().over(Window.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
     la, lb = F.length("a"), F.length("b")
-    near = near.where(2.0 * F.least(la, lb) / (la + lb) >= threshold).select("a", "b")
-    both = near.union(near.select("b", "a"))  # the ratio depends on the order
-    scored = both.select("a", "b", X.ratio()("a", "b").alias("ratio")).where(F.col("ratio") >= threshold)
+    asked = both.withColumn("rank", first).where(F.col("rank") <= most).where(2.0 * F.least(la, lb) / (la + lb) >= threshold)
+    # dealt anew, as comparing is the work
+    scored = asked.select("a", "b").repartition("a", "b").select("a", "b", X.ratio()("a", "b").alias("ratio")).where(F.col("ratio") >= threshold)
     return scored.union(titles.select("key", "key", F.lit(1.0)))
 
 
@@ -115,20 +120,21 @@ def assign(articles: DataFrame, found: DataFrame) -> DataFrame:
     An article whose earlier partners all follow others begins a story itself; one with an anchor among them joins the best of
     those, the earliest of equals.
     """
-    times = articles.select(F.col("id").alias("earlier"), F.col("published").alias("at"))
-    found = kept(found.join(times, "earlier"))
-    state = kept(articles.select("id").join(found.select(F.col("later").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("anchor")))
+    found = kept(found)
+    # first which articles are anchors: one with an anchor among its earlier partners is none, one whose partners are all none is one
+    known = kept(articles.select("id").join(found.select(F.col("later").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("anchored")))
     while True:
-        left = found.join(state.select(F.col("id").alias("later")), "later", "left_anti")
-        told = left.join(state.select(F.col("id").alias("earlier"), (F.col("id") == F.col("anchor")).alias("anchored")), "earlier", "left")
-        by = told.groupBy("later").agg(
-            F.count_if(F.col("anchored").isNull()).alias("open"),
-            F.max(F.when(F.col("anchored"), F.struct("score", (-F.unix_micros(F.col("at").cast("timestamp"))).alias("t"), (-F.col("earlier")).alias("e")))).alias("best"),
-        )
-        settled = kept(by.where("open = 0").select(F.col("later").alias("id"), F.coalesce(-F.col("best.e"), F.col("later")).alias("anchor")))
+        left = found.join(known.select(F.col("id").alias("later")), "later", "left_anti")
+        told = left.join(known.withColumnRenamed("id", "earlier"), "earlier", "left").groupBy("later").agg(F.max("anchored").alias("some"), F.count_if(F.col("anchored").isNull()).alias("open"))
+        settled = kept(told.where("some or open = 0").select(F.col("later").alias("id"), (~F.coalesce("some", F.lit(False))).alias("anchored")))
         if not settled.limit(1).count():
-            return state
-        state = kept(state.union(settled))
+            break
+        known = kept(known.union(settled))
+    # then each joins the best of the anchors
+    anchors = known.where("anchored").join(articles.select("id", "published"), "id").select(F.col("id").alias("earlier"), F.unix_micros(F.col("published").cast("timestamp")).alias("at"))
+    best = found.join(known.where("not anchored").select(F.col("id").alias("later")), "later", "left_semi").join(anchors, "earlier")
+    best = best.groupBy("later").agg(F.max(F.struct("score", (-F.col("at")).alias("t"), (-F.col("earlier")).alias("e"))).alias("best"))
+    return kept(known.where("anchored").select("id", F.col("id").alias("anchor")).union(best.select(F.col("later").alias("id"), (-F.col("best.e")).alias("anchor"))))
 
 
 def merge(articles: DataFrame, found: DataFrame, members: DataFrame, rounds: int = 10) -> DataFrame:
