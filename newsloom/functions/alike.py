@@ -13,8 +13,8 @@ import numpy as np
 
 #: Letters of the shorter title that one machine word of the bound holds; longer ones are bounded by Python's integers.
 WORD = 64
-#: Rows that are expanded at a time.
-ROWS = 1 << 20
+#: Rows that are expanded at a time; a trigram that more than one in so many titles have is counted by rows.
+ROWS, OFTEN = 1 << 20, 100
 
 
 def ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +109,15 @@ def alike(left: list[str], right: list[str] | None, shared: float, threshold: fl
     post, ends = b.title[order], np.append(first, len(order))
     spot = np.searchsorted(there, a.gram)
     met = (spot < len(there)) & (there[np.minimum(spot, len(there) - 1)] == a.gram)
+    # a trigram that many titles have is a row of zeros and ones, any other a list of titles
+    kind = np.uint8 if max(a.size.max(), b.size.max()) < 256 else np.uint32
+    common = np.flatnonzero(np.diff(ends) * OFTEN > len(b.keys))
+    rows = np.zeros((len(common), len(b.keys)), dtype=kind)
+    for r, g in enumerate(common):
+        rows[r, post[ends[g] : ends[g + 1]]] = 1
+    row_of = np.full(len(there), -1)
+    row_of[common] = np.arange(len(common))
+    needs: dict[int, np.ndarray] = {}
     out: list[tuple[str, str, float]] = []
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -134,11 +143,20 @@ def alike(left: list[str], right: list[str] | None, shared: float, threshold: fl
 
     for i in range(len(left)):
         at = slice(a.first[i], a.first[i + 1])
-        lists = [post[ends[g] : ends[g + 1]] for g in spot[at][met[at]]]
-        if not lists:
+        grams = spot[at][met[at]]
+        if not len(grams):
             continue
-        n = np.bincount(np.concatenate(lists), minlength=len(b.keys))
-        near = n >= shared * np.minimum(a.size[i], b.size)
+        r = row_of[grams]
+        n = np.add.reduce(rows[r[r >= 0]], axis=0, dtype=kind)
+        lists = [post[ends[g] : ends[g + 1]] for g in grams[r < 0]]
+        if lists:
+            n += np.bincount(np.concatenate(lists), minlength=len(b.keys)).astype(kind)
+        size_a = int(a.size[i])
+        if size_a not in needs:
+            if len(needs) > 100:
+                needs.clear()
+            needs[size_a] = np.ceil(shared * np.minimum(size_a, b.size)).astype(kind)
+        near = n >= needs[size_a]
         if right is None:
             near[: i + 1] = False
         y = np.flatnonzero(near)

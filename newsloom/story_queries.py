@@ -310,8 +310,7 @@ def match_score(spark, sf):
 @query("D6_story_clusters")
 def story_clusters(spark, sf):
     """Every page and the page that began its story."""
-    a = articles(spark, sf)
-    return Y.assign(a, Y.links(a))
+    return Y.settle(articles(spark, sf), ["anchor"])
 
 
 @query("D7_merged_stories")
