@@ -67,3 +67,19 @@ def test_no_labels(spark):
     found = language.train(docs)
     assert [r.lang_pred for r in language.detect(docs, found).collect()] == ["und"]
     assert language.detect(docs.limit(0), found).count() == 0
+
+
+def test_split_words_of_many_texts_are_not_held_at_once():
+    import tracemalloc
+
+    scorer = language.Scorer(model(TEXTS))
+    texts = [b"the cat and the dog are on the mat with that other thing " * 40] * 1800  # 4 MB, what a worker takes at once
+    one = scorer.labels(texts[:1])
+    tracemalloc.start()
+    try:
+        found = scorer.labels(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == one * len(texts)
+    assert peak < 16 << 20
